@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from veritext.llm import exact_dedup, sentencepiece_bpe
+from veritext.llm import decontamination, exact_dedup, sentencepiece_bpe, warc_bundles
 
 
 def queries() -> dict:
     return {
+        "op3_warc_bundles": warc_bundles.query,
         "op5_sentencepiece": sentencepiece_bpe.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op9_decontamination": decontamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_bundles": warc_bundles.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
+        "op9_decontamination": decontamination.ORACLE,
     }
