@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from veritext.llm import decontamination, exact_dedup, sentencepiece_bpe, warc_bundles
+from veritext.llm import decontamination, exact_dedup, sentencepiece_bpe, substring_dedup, warc_bundles
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_sentencepiece": sentencepiece_bpe.query,
         "op7_exact_dedup": exact_dedup.query,
         "op9_decontamination": decontamination.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_bundles": warc_bundles.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
     }
