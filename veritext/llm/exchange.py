@@ -10,10 +10,12 @@ its features needs no more than the marks.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,23 @@ def collect_sources(answers: DataFrame, finish: Callable[[int, bytes, dict[int,
 
 def total_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def pack(ids: list, texts: list[bytes], extra: bytes = b"") -> bytes:
+    """What a source keeps, compressed: ids with null marks, texts (as many or fewer), and further bytes."""
+    n = len(ids)
+    head = struct.pack("<III", n, len(texts), len(extra)) + np.array([i is None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + extra + b"".join(texts))
+
+
+def unpack(data: bytes) -> tuple[list, list[bytes], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m, more = struct.unpack_from("<III", raw)
+    at = 12
+    null = np.frombuffer(raw, np.uint8, n, at)
+    ids = np.frombuffer(raw, "<i8", n, at + n)
+    sizes = np.frombuffer(raw, "<u4", m, at + 9 * n)
+    at += 9 * n + 4 * m
+    extra, at = raw[at : at + more], at + more
+    ends = at + np.cumsum(sizes.astype(np.int64))
+    return [None if z else int(i) for z, i in zip(null, ids, strict=True)], [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], extra

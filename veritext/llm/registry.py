@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from veritext.llm import decontamination, exact_dedup, sentencepiece_bpe, substring_dedup, warc_bundles
+from veritext.llm import decontamination, exact_dedup, jaccard_join, sentencepiece_bpe, substring_dedup, warc_bundles
 
 
 def queries() -> dict:
     return {
         "op3_warc_bundles": warc_bundles.query,
         "op5_sentencepiece": sentencepiece_bpe.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op7_exact_dedup": exact_dedup.query,
         "op9_decontamination": decontamination.query,
         "op10_substring_dedup": substring_dedup.query,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_bundles": warc_bundles.ORACLE,
+        "op6_jaccard_join": jaccard_join.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,

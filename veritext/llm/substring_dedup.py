@@ -16,12 +16,10 @@ other's windows wholly.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from veritext.llm import common, exchange
@@ -111,26 +109,6 @@ def marked(places: list, parts: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def pack(ids: list, texts: list[bytes], extra: bytes = b"") -> bytes:
-    """A source's documents, compressed: ids with null marks, text lengths, texts, and further bytes."""
-    n = len(ids)
-    head = struct.pack("<II", n, len(extra)) + np.array([i is None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + extra + b"".join(texts))
-
-
-def unpack(data: bytes) -> tuple[list, list[bytes], bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, more = struct.unpack_from("<II", raw)
-    at = 8
-    null = np.frombuffer(raw, np.uint8, n, at)
-    ids = np.frombuffer(raw, "<i8", n, at + n)
-    sizes = np.frombuffer(raw, "<u4", n, at + 9 * n)
-    at += 13 * n
-    extra, at = raw[at : at + more], at + more
-    ends = at + np.cumsum(sizes.astype(np.int64))
-    return [None if z else int(i) for z, i in zip(null, ids, strict=True)], [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], extra
-
-
 def candidate_starts(cut: Slice, hit: np.ndarray, window: int, size: int) -> np.ndarray:
     """Places of the windows that hold an anchor which was marked."""
     cover = np.zeros(len(cut.flat) + 1, np.int64)
@@ -183,20 +161,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         hashes, key = common.Hashes(), common.task_key()
         for part, texts in common.text_chunks(batches):
             _, parts, _ = anchor_parts(Slice(texts, hashes))
-            yield exchange.rows(key(), pack(part.column("doc_id").to_pylist(), texts), parts, n)
+            yield exchange.rows(key(), exchange.pack(part.column("doc_id").to_pylist(), texts), parts, n)
 
     def send_windows(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
-        ids, texts, _ = unpack(kept)
+        ids, texts, _ = exchange.unpack(kept)
         cut = Slice(texts, common.Hashes())
         place, _, places = anchor_parts(cut)
         starts = candidate_starts(cut, place[marked(places, parts)], window, size)
         runs = np.flatnonzero(np.diff(np.concatenate([[-2], starts])) != 1)
         spans = np.stack([starts[runs], np.diff(np.append(runs, len(starts)))], 1).astype("<u4").tobytes()
         sent, _ = window_parts(cut, starts)
-        return pa.Table.from_batches([exchange.rows(source, pack(ids, texts, spans), sent, m)])
+        return pa.Table.from_batches([exchange.rows(source, exchange.pack(ids, texts, spans), sent, m)])
 
     def finish(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
-        ids, texts, spans = unpack(kept)
+        ids, texts, spans = exchange.unpack(kept)
         cut = Slice(texts, common.Hashes())
         runs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
         starts = np.repeat(runs[:, 0] - np.cumsum(runs[:, 1]) + runs[:, 1], runs[:, 1]) + np.arange(runs[:, 1].sum())
