@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from veritext.llm import decontamination, exact_dedup, jaccard_join, sentencepiece_bpe, substring_dedup, warc_bundles
+from veritext.llm import decontamination, exact_dedup, jaccard_join, quality_classifier, sentencepiece_bpe, substring_dedup, warc_bundles
 
 
 def queries() -> dict:
     return {
         "op3_warc_bundles": warc_bundles.query,
+        "op4_quality_classifier": quality_classifier.query,
         "op5_sentencepiece": sentencepiece_bpe.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_exact_dedup": exact_dedup.query,
