@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from veritext.llm import decontamination, exact_dedup, jaccard_join, quality_classifier, sentencepiece_bpe, substring_dedup, warc_bundles
+from veritext.llm import decontamination, exact_dedup, jaccard_join, pii, quality_classifier, sentencepiece_bpe, substring_dedup, warc_bundles
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_sentencepiece": sentencepiece_bpe.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op8_pii": pii.query,
         "op9_decontamination": decontamination.query,
         "op10_substring_dedup": substring_dedup.query,
     }
