@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from veritext.llm import decontamination, exact_dedup, jaccard_join, pii, quality_classifier, sentencepiece_bpe, substring_dedup, warc_bundles
+from veritext.llm import decontamination, exact_dedup, jaccard_join, lm_scoring, pii, quality_classifier, secret_scan, sentencepiece_bpe, substring_dedup, warc_bundles
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": lm_scoring.query,
+        "op2_secret_scan": secret_scan.query,
         "op3_warc_bundles": warc_bundles.query,
         "op4_quality_classifier": quality_classifier.query,
         "op5_sentencepiece": sentencepiece_bpe.query,
@@ -22,6 +24,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_lm_scoring": lm_scoring.ORACLE,
         "op3_warc_bundles": warc_bundles.ORACLE,
         "op6_jaccard_join": jaccard_join.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
