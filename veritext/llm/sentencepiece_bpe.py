@@ -3,10 +3,10 @@
 The encoder keeps an agenda of adjacent symbol pairs ordered by score (ties: the
 leftmost) and merges the best until none is in the vocabulary; symbols without a
 piece become byte pieces. A text is first cut where no piece of the vocabulary
-can span (before a blank that follows another character, and around line feeds),
-so a chunk's ids don't depend on its neighbours and are kept for the next time
-the chunk is met. Whether the vocabulary allows these cuts is checked as it is
-loaded; otherwise the text stays whole.
+can span: between two characters that stand together in no piece. A chunk's ids
+don't depend on its neighbours and are kept for the next time the chunk is met.
+Cuts before blanks and around line feeds come first, if the vocabulary allows
+them, which is checked as it is loaded.
 
 Each Arrow batch is checked against the sentencepiece library: every chunk that
 the worker meets for the first time, and the batch's first whole text, ids and
@@ -49,6 +49,11 @@ class Model:
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(n)]
         self.rank = {p: (-lib.get_score(i), i) for i, p in enumerate(self.pieces) if not special[i]}
         self.byte_ids = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        order = {x: k for k, x in enumerate(sorted({r for r, _ in self.rank.values()}))}
+        self.base = n + 2
+        self.char_ids = {p: i for p, (_, i) in self.rank.items() if len(p) == 1}
+        # Two pieces' numbers -> the rank of the piece that they make, and its number.
+        self.pairs = {self.rank[p[:k]][1] * self.base + self.rank[p[k:]][1]: order[r] << 20 | i for p, (r, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank}
         self.has_bytes = all(lib.is_byte(i) for i in self.byte_ids)
         self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
         self.unused = {i for i in range(n) if lib.is_unused(i)}
@@ -58,58 +63,60 @@ class Model:
         plain = [p for i, p in enumerate(self.pieces) if not special[i]]
         safe = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in plain)
         self.cut = re.compile(r" *[^ \n]+| +|\n" if safe else r"(?s).+")
+        #: Neighbouring characters that some piece holds: no piece spans any others.
+        self.inner = {p[k : k + 2] for p in plain for k in range(len(p) - 1)}
         self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text whose blanks are escaped, by the agenda of adjacent pairs."""
-        symbols: list[str] = list(text)
+        base, dead, pairs = self.base, self.base - 2, self.pairs
+        at = self.char_ids
+        symbols = [at.get(c, base - 1) for c in text]
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, made, agenda = self.rank, {}, []
-
-        def propose(left: int, right: int) -> None:
-            if left >= 0 and right >= 0:
-                joined = symbols[left] + symbols[right]
-                if (found := rank.get(joined)) is not None:
-                    agenda.append((found[0], left, right, joined)) if not started else heapq.heappush(agenda, (found[0], left, right, joined))
-                    if found[1] in self.unused:
-                        made[joined] = (symbols[left], symbols[right])
-
-        started = False
-        for i in range(n - 1):
-            propose(i, i + 1)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        # An entry is the merged piece's rank and the left symbol's place; it's void once either symbol has changed.
+        agenda = [(pairs[k] >> 20) << 32 | i for i, k in enumerate([a * base + b for a, b in zip(symbols, symbols[1:])]) if k in pairs]
         heapq.heapify(agenda)
-        started = True
         while agenda:
-            _, left, right, joined = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != len(joined):
-                continue  # one side has been merged since
-            symbols[left], symbols[right] = joined, ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            propose(before[left], left)
-            propose(left, after[left])
-
+            entry = heapq.heappop(agenda)
+            i = entry & 0xFFFFFFFF
+            j = after[i]
+            if j >= n or (found := pairs.get(symbols[i] * base + symbols[j])) is None or found >> 20 != entry >> 32:
+                continue
+            symbols[i] = merged = found & 0xFFFFF
+            symbols[j] = dead
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (found := pairs.get(merged * base + symbols[k])) is not None:
+                    heapq.heappush(agenda, (found >> 20) << 32 | i)
+            if (h := before[i]) >= 0 and (found := pairs.get(symbols[h] * base + merged)) is not None:
+                heapq.heappush(agenda, (found >> 20) << 32 | h)
+
+        if dead + 1 not in symbols and not self.unused:
+            return [x for x in symbols if x != dead]
         out: list[int] = []
-
-        def emit(piece: str) -> None:
-            found = rank.get(piece)
-            if found is not None and found[1] in self.unused and piece in made:
-                emit(made[piece][0])
-                emit(made[piece][1])
-            elif found is not None:
-                out.append(found[1])
-            elif self.has_bytes:
-                out.extend(self.byte_ids[b] for b in piece.encode())
+        place = 0
+        while place < n:
+            if symbols[place] == base - 1:
+                out.extend((self.byte_ids[b] for b in text[place].encode()) if self.has_bytes else [self.unk])
             else:
-                out.append(self.unk)
-
-        for s in symbols:
-            if s:
-                emit(s)
+                out.extend(self.used(symbols[place]))
+            place = after[place]
         return out
 
+    def used(self, piece: int) -> list[int]:
+        """The piece, or what it was merged from if the vocabulary marks it as unused: its best split, over again."""
+        if piece not in self.unused:
+            return [piece]
+        text = self.pieces[piece]
+        splits = [(self.rank[a], i) for i in range(1, len(text)) if (a := text[:i]) in self.rank and text[i:] in self.rank]
+        if not splits:
+            return [piece]
+        i = min(splits)[1]
+        return self.used(self.rank[text[:i]][1]) + self.used(self.rank[text[i:]][1])
+
     def surface_of(self, ids: list[int]) -> bytes:
         """The decoded bytes of ids without the dummy prefix rule; runs of byte pieces that aren't UTF-8 give U+FFFD for each byte."""
         out, run = [], b""
@@ -125,7 +132,15 @@ class Model:
 
     def chunk(self, raw: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of a chunk of the text with its prefix blank."""
-        ids = self.merge(raw.replace(" ", BLANK))
+        text, inner, parts = raw.replace(" ", BLANK), self.inner, self.parts
+        cuts = [0, *[i for i, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in inner], len(text)]
+        ids: list[int] = []
+        for a, b in zip(cuts, cuts[1:]):
+            if (found := parts.get(part := text[a:b])) is None:
+                if len(parts) > KEPT_CHUNKS:
+                    parts.clear()
+                found = parts[part] = self.merge(part)
+            ids += found
         return struct.pack(f"<{len(ids)}I", *ids), self.surface_of(ids)
 
     def encode(self, text: str) -> list[int]:
