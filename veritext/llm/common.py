@@ -89,6 +89,12 @@ def join_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, count_col: str
     return mild.unionByName(large)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among ids(doc_id); rows without an id stay."""
+    gone = ids.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
+
+
 # --- connected components ----------------------------------------------------
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:

@@ -141,13 +141,17 @@ def lookup(groups: DataFrame, index: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def dedup(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Verdicts on every row of both: doc_id, keep_id, group_size, kept, text_sha256.
+    """Verdicts on every row of both: doc_id, keep_id, group_size, kept, text_sha256."""
+    return verdicts(digest_rows(history).withColumn("old", F.lit(True)).unionByName(digest_rows(incoming).withColumn("old", F.lit(False))))
 
-    history's distinct digests are indexed; incoming's digests are looked up.
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """Verdicts on rows(doc_id, digest, old), which are read once: doc_id, keep_id, group_size, kept, text_sha256.
+
+    The distinct digests of old rows are indexed; the others' are looked up.
     Members join the group of their slot, all others form groups of their own.
     """
-    old_rows, new_rows = digest_rows(history).withColumn("old", F.lit(True)), digest_rows(incoming).withColumn("old", F.lit(False))
-    rows = common.stored(old_rows.unionByName(new_rows), "dedup-digests")
+    rows = common.stored(rows, "dedup-digests")
     groups = common.stored(rows.groupBy("old", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("winner")), "dedup-groups")
     old, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
     sizes = groups.agg(F.sum("n").alias("rows"), F.count_if("old").alias("keys")).first()
@@ -159,8 +163,8 @@ def dedup(history: DataFrame, incoming: DataFrame) -> DataFrame:
     # A group is the incoming one with what its slot held; of the history, what no member came for.
     untouched = old.join(merged.where("member").select("digest"), "digest", "left_anti").select(
         "digest", F.col("n").alias("group_size"), F.col("winner").alias("keep_id"), F.lit(False).alias("member"))
-    verdicts = common.stored(merged.unionByName(untouched).where("group_size > 1").drop("member"), "dedup-verdicts")
-    out = common.join_verdicts(rows.drop("old"), verdicts, "digest", "group_size", sizes["rows"] or 0)
+    several = common.stored(merged.unionByName(untouched).where("group_size > 1").drop("member"), "dedup-verdicts")
+    out = common.join_verdicts(rows.drop("old"), several, "digest", "group_size", sizes["rows"] or 0)
     single = F.col("group_size").isNull()
     return out.select(
         "doc_id",
@@ -171,14 +175,25 @@ def dedup(history: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def split_history(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which rows count as the history: those with an even doc_id (or none); the others arrive. Both are used whole."""
-    late = F.coalesce(F.pmod(F.col("doc_id"), F.lit(2)) == 1, F.lit(False))
-    return docs.where(~late), docs.where(late)
+def is_history():
+    """Which rows count as the history: those with an even doc_id, or with none. The others arrive. Both are used whole."""
+    return F.coalesce(F.pmod(F.col("doc_id"), F.lit(2)) == 0, F.lit(True))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each group of equal texts, also where rows repeat whole."""
+    found = common.stored(verdicts(digest_rows(docs).withColumn("old", is_history())), "dedup-rows")
+    acts = found.where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("NOT _kept OR _n > 1")
+    sha = F.sha2(common.lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
+    joined = docs.withColumn("_own", sha).join(acts, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
+    alone = joined.where("_n IS NULL")
+    first = joined.where("_kept").dropDuplicates(["_id", "_sha"])
+    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(*split_history(common.table(spark, sf_dir, "documents")))
+    docs = common.table(spark, sf_dir, "documents")
+    return dedup(docs.where(is_history()), docs.where(~is_history()))
 
 
 ORACLE = """

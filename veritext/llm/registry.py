@@ -19,11 +19,12 @@ def queries() -> dict:
         "op8_pii": pii.query,
         "op9_decontamination": decontamination.query,
         "op10_substring_dedup": substring_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "op1_lm_scoring": lm_scoring.ORACLE,
         "op3_warc_bundles": warc_bundles.ORACLE,
         "op6_jaccard_join": jaccard_join.ORACLE,
@@ -31,3 +32,4 @@ def oracle_sql() -> dict[str, str]:
         "op9_decontamination": decontamination.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
     }
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -26,6 +26,7 @@ import sys
 import types
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -192,8 +193,8 @@ def worker_model(proto: bytes) -> Model:
     return state.model
 
 
-def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tuple[int, str, str]]:
-    """(n_tokens, ids_sha256, decoded_sha256) of whole texts; checked against the library."""
+def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tuple[int, str, str, bytes]]:
+    """(n_tokens, ids_sha256, decoded_sha256, ids in bytes) of whole texts; checked against the library."""
     cut, kept = model.cut.findall, model.kept
     if len(kept) > KEPT_CHUNKS:
         kept.clear()
@@ -209,7 +210,7 @@ def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tup
         pairs = [kept[c] for c in chunks]
         ids = b"".join([begin, *[p[0] for p in pairs], end])
         text = b"".join([p[1] for p in pairs])
-        out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text[1:]).hexdigest()))
+        out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text[1:]).hexdigest(), ids))
     if check and texts:
         ids = [model.bos, *model.library.encode(texts[0]), model.eos]
         own = out[0]
@@ -230,14 +231,18 @@ def verify(model: Model, chunks: list[str]) -> None:
             raise ValueError(f"chunk {c[:80]!r} is decoded otherwise than by the library")
 
 
-def encoder(proto: bytes, check: bool = True):
+def encoder(proto: bytes, check: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_model(proto)
         for part, texts in common.text_chunks(batches):
             rows = encode_texts(model, [t.decode() for t in texts], check)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            arrays = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.cumsum([0, *[r[0] for r in rows]], dtype=np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([r[3] for r in rows]), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
@@ -267,9 +272,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model_file: str | None = None, check: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row. The model file is read by the driver and sent with the tasks."""
-    return common.documents(docs).mapInArrow(encoder(read_model(model_file or default_model()), check), SCHEMA)
+def encode(docs: DataFrame, model_file: str | None = None, check: bool = True, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every row. The model file is read by the driver and sent with the tasks."""
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    return common.documents(docs).mapInArrow(encoder(read_model(model_file or default_model()), check, with_ids), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
