@@ -16,3 +16,11 @@ def arrow_udf(kernel: Callable, returns: str, once: bool = False) -> Callable[..
         return (made.asNondeterministic() if once else made)(*columns)
 
     return call
+
+
+def settled(c: Column) -> Column:
+    """c as a column of its own: the optimizer merges nothing non-deterministic into the expressions above it.
+
+    The arguments of UDFs must not hold lambda functions, which a merge could bring in.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from veritext.config import EXACT_BODY_CELLS, PREVIEW_CHARS, ScoringConfig
 from veritext.functions import text
+from veritext.functions.arrow import settled
 from veritext.operators import distance
 
 
 def normal_forms(docs: DataFrame, column: str, config: ScoringConfig, name: str) -> DataFrame:
     """docs with name_1, the body's normal form, and name_2, the normal form of that: it isn't idempotent, and the distance is taken on the second."""
-    docs = docs.withColumn(f"{name}_1", text.body(text.without_heading_marks(F.col(column)), config))
-    return docs.withColumn(f"{name}_2", text.body(F.col(f"{name}_1"), config))
+    docs = docs.withColumn(f"{name}_0", settled(text.without_heading_marks(F.col(column))))
+    docs = docs.withColumn(f"{name}_1", settled(text.body(F.col(f"{name}_0"), config)))
+    return docs.withColumn(f"{name}_2", settled(text.body(F.col(f"{name}_1"), config))).drop(f"{name}_0")
 
 
 def score(docs: DataFrame, gt: str, pred: str, config: ScoringConfig) -> DataFrame:
@@ -22,7 +24,7 @@ def score(docs: DataFrame, gt: str, pred: str, config: ScoringConfig) -> DataFra
     has_gt, has_pred = F.col("_g_1") != "", F.col("_p_1") != ""
     none = ~has_gt & ~has_pred
     apart = F.when(none, 0.0).otherwise(distance.normalized(F.col("_g_2"), F.col("_p_2"), EXACT_BODY_CELLS))
-    docs = docs.withColumn("_d", apart)
+    docs = docs.withColumn("_d", settled(apart))
     op = F.when(has_gt & has_pred, "match").when(has_gt, "missing").otherwise("extra")
     worst = F.struct(op.alias("op"), text.rounded(F.col("_d")).alias("distance"), has_gt.cast("int").alias("gt_count"), has_pred.cast("int").alias("pred_count"), text.preview(F.col("_g_2"), PREVIEW_CHARS).alias("gt_preview"), text.preview(F.col("_p_2"), PREVIEW_CHARS).alias("pred_preview"))
     one = lambda c: c.cast("int")

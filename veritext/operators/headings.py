@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veritext import schemas
 from veritext.config import HEADING_GAP, HEADING_LEAST, HEADING_PREVIEW_CHARS, HEADING_UNLIKE, REPORT_OPS, TITLE_WEIGHTS
 from veritext.functions import text
-from veritext.functions.arrow import arrow_udf
+from veritext.functions.arrow import arrow_udf, settled
 from veritext.functions.kernels import flat
 from veritext.operators import distance, extract
 
@@ -90,10 +90,12 @@ flat_list_udf = arrow_udf(_flat_list, "array<string>", once=True)
 
 def score(docs: DataFrame, gt: str, pred: str) -> DataFrame:
     """docs with a struct `title`: the layout score of array<struct<level,text>> columns gt and pred."""
-    level = lambda c: extract.relative_levels(F.transform(c, lambda h: h["level"]))
-    texts = lambda c: F.transform(c, lambda h: h["text"])
-    docs = docs.withColumns({"_gl": level(F.col(gt)), "_pl": level(F.col(pred)), "_gf": flat_list_udf(texts(F.col(gt))), "_pf": flat_list_udf(texts(F.col(pred)))})
-    docs = docs.withColumn("_a", align_udf(pair_similarities(F.col("_gf"), F.col("_pf")), "_gl", "_pl", texts(F.col(gt)), texts(F.col(pred))))
+    level = lambda c: settled(extract.relative_levels(F.transform(c, lambda h: h["level"])))
+    texts = lambda c: settled(F.transform(c, lambda h: h["text"]))
+    docs = docs.withColumns({"_gl": level(F.col(gt)), "_pl": level(F.col(pred)), "_gt": texts(F.col(gt)), "_pt": texts(F.col(pred))})
+    docs = docs.withColumns({"_gf": flat_list_udf("_gt"), "_pf": flat_list_udf("_pt")})
+    docs = docs.withColumn("_s", settled(pair_similarities(F.col("_gf"), F.col("_pf"))))
+    docs = docs.withColumn("_a", align_udf("_s", "_gl", "_pl", "_gt", "_pt"))
     n, m = F.size("_gl"), F.size("_pl")
     both = F.filter("_a.ops", lambda o: o["op"] == "match")
     count = lambda op: F.size(F.filter("_a.ops", lambda o: o["op"] == op))
@@ -116,4 +118,4 @@ def score(docs: DataFrame, gt: str, pred: str) -> DataFrame:
         text.rounded(F.col("_a.cost")).alias("alignment_cost"), matched.alias("matched_heading_count"), count("missing").alias("missing_heading_count"), count("extra").alias("extra_heading_count"), unlike.alias("level_mismatch_count"),
         F.transform(gt, lambda h: h["level"]).alias("gt_raw_heading_levels"), F.transform(pred, lambda h: h["level"]).alias("pred_raw_heading_levels"), F.col("_gl").alias("gt_relative_heading_levels"), F.col("_pl").alias("pred_relative_heading_levels"),
         F.when(F.size(told) == 0, F.array(F.lit("No heading layout penalty."))).otherwise(told).alias("issues"), F.slice("_a.ops", 1, REPORT_OPS).alias("alignment"))
-    return docs.withColumn("title", result).drop("_gl", "_pl", "_gf", "_pf", "_a")
+    return docs.withColumn("title", result).drop("_gl", "_pl", "_gt", "_pt", "_gf", "_pf", "_s", "_a")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veritext.config import EDGE_WEIGHTS, EXACT_TABLE_CELLS, KEYWORD_WEIGHTS, LEAST_KEYWORD, LEAST_MATCH, LEAST_PAIR, ORDERED_CANDIDATES, RETRIEVAL_WEIGHTS, RETRIEVED_CANDIDATES, ScoringConfig
 from veritext.functions import kernels, text
-from veritext.functions.arrow import arrow_udf
+from veritext.functions.arrow import arrow_udf, settled
 from veritext.operators import distance, extract
 
 # --- features ------------------------------------------------------------------
@@ -31,7 +31,7 @@ def _flattener(config: ScoringConfig):
 
 def features(tables: DataFrame, config: ScoringConfig) -> DataFrame:
     """tables with words, bigrams, content (normal form) and has_content."""
-    rows = tables.withColumn("_anchor", extract.anchor_text(F.col("matrix"))).withColumn("_flat", _flattener(config)("matrix"))
+    rows = tables.withColumn("_anchor", settled(extract.anchor_text(F.col("matrix")))).withColumn("_flat", _flattener(config)("matrix"))
     return rows.withColumns({"words": extract.anchor_words(F.col("_anchor")), "bigrams": extract.anchor_bigrams(F.col("_anchor")), "content": F.col("_flat")[1], "has_content": F.col("_flat")[0] != ""}).drop("_anchor", "_flat")
 
 

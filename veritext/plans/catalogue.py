@@ -1,11 +1,488 @@
-"""Queries over the driver's tables, with their DuckDB oracles."""
+"""Queries over the driver's tables, with their DuckDB oracles.
+
+The tables hold no Markdown, so some queries render rows to Markdown or HTML and
+parse them back; the oracle computes the answer from the rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veritext.config import ScoringConfig
+from veritext.functions import rules, text
+from veritext.operators import adapters, body, canonical, cleanup, distance, extract, headings, tables
+from veritext.plans import score
+from veritext.sources import markdown
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- lines and scalar text -----------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line) = '') AS n_blank, max(length(line)) AS longest, count(DISTINCT line) AS n_distinct FROM l GROUP BY doc_id""")
+def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts of each document."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"), F.max(F.length("line")).cast("bigint").alias("longest"), F.count_distinct("line").alias("n_distinct"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+), o AS (SELECT doc_id, line_no, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS start, count(*) OVER (PARTITION BY doc_id) AS n FROM l)
+SELECT doc_id, line_no, CAST(start AS BIGINT) AS start, length(line) AS size FROM o WHERE line <> '' OR line_no < n - 1""")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line begins."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = extract.lines(docs, ["doc_id"])
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("start").cast("bigint").alias("start"), F.length("text").cast("bigint").alias("size"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
+), c AS (SELECT doc_id, line, regexp_replace(trim(line), '[ \t]+', '', 'g') AS small FROM l)
+SELECT doc_id, count(*) AS n_lines,
+  count(*) FILTER (regexp_full_match(small, '-?[0-9]{1,4}-?') OR regexp_full_match(lower(small), '(page)?[0-9]{1,4}(of|/)[0-9]{1,4}') OR regexp_full_match(lower(trim(line)), 'page[ ]+[0-9]{1,4}([ ]+of[ ]+[0-9]{1,4})?')) AS page_numbers,
+  count(*) FILTER (regexp_matches(small, '([.…⋯·_]|-){3,}[0-9]{1,4}$')) AS leaders
+FROM c GROUP BY doc_id""")
+def line_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers and leader lines."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(text.page_number(F.col("line"))).alias("page_numbers"), F.count_if(text.toc_leader(F.col("line"))).alias("leaders"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) AS nth FROM l)
+SELECT doc_id, count(*) FILTER (nth = 1) AS kept, count(*) FILTER (nth > 1) AS dropped, sha256(string_agg(line, chr(10) ORDER BY n) FILTER (nth = 1)) AS text_sha256 FROM s GROUP BY doc_id""")
+def repeated_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first occurrence of each line of a document."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("n"))
+    lines = lines.withColumn("nth", nth)
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") == 1, F.struct("n", "line")))), lambda x: x["line"])
+    return lines.groupBy("doc_id").agg(F.count_if(F.col("nth") == 1).alias("kept"), F.count_if(F.col("nth") > 1).alias("dropped"), F.sha2(F.array_join(kept, "\n"), 256).alias("text_sha256"))
+
+
+@query(r"""
+SELECT page_id, sha256(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '(?i)<br[\s]*/?>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[*_`~]+', '', 'g'), '[\s]+', ' ', 'g')), '^ | $', '', 'g')) AS text_sha256 FROM pages""")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as flat text, entities left as they are."""
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(text.flat_column(F.coalesce("html", F.lit(""))), 256).alias("text_sha256"))
+
+
+@query(r"""
+SELECT page_id, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS comments_removed, sha256(regexp_replace(html, '<!--.*?-->', '', 'gs')) AS text_sha256 FROM pages""")
+def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments removed and counted."""
+    docs = adapters.strip_comments(adapters.started(read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))))
+    return docs.select("page_id", F.coalesce(F.try_element_at("stats", F.lit("comments_removed")), F.lit(0)).alias("comments_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(r"""
+SELECT p_partkey, '![]' || chr(10) || 'a ' || chr(10) || '![]' || chr(10) || ' b ![]' AS text, 3 AS images FROM part""")
+def image_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image markup of three kinds as markers."""
+    name = F.col("p_name")
+    made = F.concat(F.lit("!["), name, F.lit("](p/"), name, F.lit(".png)\na <img src=\""), name, F.lit("\"/> b !["), name, F.lit("][1]"))
+    docs = adapters.normalize_images()(adapters.started(read(spark, sf_dir, "part").select("p_partkey", made.alias("text"))))
+    return docs.select("p_partkey", "text", (F.col("stats")["markdown_images_normalized"] + F.col("stats")["html_images_normalized"]).cast("int").alias("images"))
+
+
+@query("SELECT c_custkey, c_name || ' and ' || c_mktsegment AS text FROM customer")
+def footnote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footnote marks of five kinds removed."""
+    made = F.concat("c_name", F.lit("<sup>(1)</sup>$^{2}$ and [3]^{a}"), "c_mktsegment", F.lit("[注12]"))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.footnotes_column(made).alias("text"))
+
+
+@query("SELECT s_suppkey, '\"' || s_name || '\", (' || s_nationkey || '): a-b' AS text FROM supplier")
+def punctuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Punctuation variants folded."""
+    made = F.concat(F.lit("“"), "s_name", F.lit("」，（"), F.col("s_nationkey").cast("string"), F.lit("）：a——b"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.replace(text.punctuation_column(made), F.lit(","), F.lit(", ")), F.lit("):"), F.lit("): ")).alias("text"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '') AS compact, p_name AS content FROM part")
+def line_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without horizontal white space, list marks and one pair of brackets."""
+    line = F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \t ")))
+    listed = F.concat(F.lit("> • ["), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("]"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.compact(line).alias("compact"), F.replace(text.line_content(listed), F.lit("_"), F.lit(" ")).alias("content"))
+
+
+@query("SELECT n_nationkey, '## ' || n_name AS line, n_name AS heading, replace(lower(n_name), ' ', '') AS key FROM nation")
+def heading_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading markers stripped, and the key of a line."""
+    line = F.concat(F.lit("## "), "n_name")
+    return read(spark, sf_dir, "nation").select("n_nationkey", line.alias("line"), text.heading_text(F.concat(line, F.lit(" ##"))).alias("heading"), text.line_key(line).alias("key"))
+
+
+@query(r"""
+SELECT s_suppkey, regexp_replace(regexp_replace(s_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[_.-]+|[_.-]+$', '', 'g') AS slug, 'out/' || s_name || '.md' AS path,
+  CASE WHEN length(s_name || s_name || s_name) <= 40 THEN s_name || s_name || s_name ELSE left(s_name || s_name || s_name, 37) || '...' END AS preview,
+  greatest(0, least(100, s_acctbal / 50)) AS clamped FROM supplier""")
+def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs, relative paths, previews, clamping."""
+    long = F.concat("s_name", "s_name", "s_name")
+    return read(spark, sf_dir, "supplier").select(
+        "s_suppkey", text.slug(F.col("s_name")).alias("slug"), text.relative_path(F.concat(F.lit("file:///data/root/out/"), "s_name", F.lit(".md")), "/data/root").alias("path"),
+        text.preview(long, 40).alias("preview"), text.clamp(F.col("s_acctbal") / 50).alias("clamped"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, length(text) AS n FROM documents")
+def sha_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of texts."""
+    docs = markdown.from_rows(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n"))
+
+
+# --- headings --------------------------------------------------------------------
+
+
+@query("""
+WITH h AS (
+  SELECT r_regionkey AS doc, 1 AS level, r_name AS text, -1 AS a, -1 AS b FROM region
+  UNION ALL SELECT n_regionkey, 3, n_name, n_nationkey, -1 FROM nation
+  UNION ALL SELECT n_regionkey, 6, c_name, n_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY a, b) - 1 AS INT) AS index, CAST(level AS INT) AS level, text, CAST(dense_rank() OVER (PARTITION BY doc ORDER BY level) AS INT) AS rel_level FROM h""")
+def heading_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of a rendered outline, fenced lines ignored."""
+    region, nation, customer = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    none = F.lit(-1).cast("bigint")
+    rows = region.select(F.col("r_regionkey").alias("doc"), none.alias("a"), none.alias("b"), F.concat(F.lit("# "), "r_name", F.lit("\n```\n# fenced\n```")).alias("line"))
+    rows = rows.unionByName(nation.select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").cast("bigint").alias("a"), none.alias("b"), F.concat(F.lit("### "), "n_name", F.lit(" ###\nplain")).alias("line")))
+    rows = rows.unionByName(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").cast("bigint").alias("a"), F.col("c_custkey").cast("bigint").alias("b"), F.concat(F.lit("   ###### "), "c_name").alias("line")))
+    docs = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return extract.headings(docs, ["doc"])
+
+
+@query("""
+SELECT c_nationkey, list_transform(list(CAST(c_custkey % 5 AS INT) ORDER BY c_custkey), lambda x: CAST(list_position(list_sort(list_distinct(list(CAST(c_custkey % 5 AS INT)))), x) AS INT)) AS levels FROM customer GROUP BY c_nationkey""")
+def relative_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels as ranks among a document's distinct levels."""
+    level = (F.col("c_custkey") % 5).cast("int")
+    docs = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", level.alias("l")))), lambda x: x["l"]).alias("l"))
+    return docs.select("c_nationkey", extract.relative_levels(F.col("l")).alias("levels"))
+
+
+@query()
+def heading_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout score of each benchmark item's sentences against the next item's."""
+    parts = F.transform(F.split("text", r"(?<=[.])\s+"), lambda s: F.struct((F.length(s) % 3 + 1).cast("int").alias("level"), s.alias("text")))
+    items = read(spark, sf_dir, "benchmark").select("item_id", parts.alias("gt"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("gt").alias("pred"))
+    scored = headings.score(items.join(after, "item_id"), "gt", "pred")
+    return scored.select("item_id", "title.title_layout_score", "title.heading_f1_score", "title.alignment_cost", "title.missing_heading_count", "title.extra_heading_count")
+
+
+@query()
+def level_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment by levels alone of neighbouring nations' customers."""
+    level = (F.length("c_name") + F.col("c_custkey") % 3).cast("int")
+    docs = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("c_custkey", level.alias("l")))), 1, 200), lambda x: x["l"]).alias("gt"))
+    after = docs.select((F.col("c_nationkey") - 1).alias("c_nationkey"), F.col("gt").alias("pred"))
+    return docs.join(after, "c_nationkey").select("c_nationkey", headings.align_levels_udf("gt", "pred").alias("a")).select("c_nationkey", "a.cost", F.size("a.ops").alias("n_ops"))
+
+
+# --- tables ----------------------------------------------------------------------
+
+
+def _lined(df: DataFrame, keys: list[str], order: list[str], line: F.Column, sep: str = "\n") -> DataFrame:
+    """One row a key: the lines in order, joined."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["_line"]), sep).alias("lines"))
+
+
+@query("""
+WITH t AS (
+  SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS row, replace(n_name, '_', '') AS n_name, CAST(n_nationkey AS VARCHAR) AS k FROM nation)
+SELECT n_regionkey, row, 0 AS col, n_name AS text FROM t UNION ALL SELECT n_regionkey, row, 1, k || '|x' FROM t
+UNION ALL SELECT DISTINCT n_regionkey, 0, 0, 'name' FROM nation UNION ALL SELECT DISTINCT n_regionkey, 0, 1, 'key' FROM nation""")
+def pipe_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of rendered pipe tables."""
+    line = F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit("\\|x |"))
+    docs = _lined(read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], line)
+    docs = docs.select("n_regionkey", F.concat(F.lit("before\n\n| name | key |\n|---|:---:|\n"), "lines", F.lit("\n\nafter")).alias("text"))
+    found = extract.tables(extract.with_tables(docs), ["n_regionkey"])
+    return extract.cells(found, ["n_regionkey"]).select("n_regionkey", "row", "col", "text")
+
+
+@query("""
+SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_returnflag) - 1 AS INT) AS row, CAST(o_orderkey AS VARCHAR) AS order_text, CAST(l_linenumber AS VARCHAR) AS line_text, l_returnflag AS flag_text, l_returnflag AS again_text
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+def html_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered HTML tables with row and column spans, parsed back."""
+    items = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    by = Window.partitionBy("o_orderkey")
+    items = items.withColumns({"_n": F.count(F.lit(1)).over(by), "_k": F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_returnflag"))})
+    key = F.when(F.col("_k") == 1, F.concat(F.lit("<td rowspan=\""), F.col("_n").cast("string"), F.lit("\">"), F.col("o_orderkey").cast("string"), F.lit("</td>"))).otherwise("")
+    line = F.concat(F.lit("<tr>"), key, F.lit("<td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td colspan=2><b>"), "l_returnflag", F.lit("</b></td></tr>"))
+    docs = _lined(items, ["o_custkey"], ["o_orderkey", "_k"], line, "").select("o_custkey", F.concat(F.lit("<table>"), "lines", F.lit("</table>")).alias("text"))
+    found = extract.tables(extract.with_tables(docs), ["o_custkey"]).select("o_custkey", F.posexplode("matrix").alias("row", "r"))
+    return found.select("o_custkey", "row", *[F.col("r")[k].alias(f"{n}_text") for k, n in enumerate(("order", "line", "flag", "again"))])
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, count(*) AS a, count(*) FILTER (l_returnflag = 'N') AS b, count(DISTINCT l_linestatus) + 1 AS ca, count(DISTINCT l_returnflag) + 1 AS cb FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, round(greatest(0, least(100, (1.0::DOUBLE - abs(a - b)::DOUBLE / greatest(a, b, 1) + 1.0::DOUBLE - abs(ca - cb)::DOUBLE / greatest(ca, cb, 1) + 1.0::DOUBLE - abs(a * ca - b * cb)::DOUBLE / greatest(a * ca, b * cb, 1)) / 3.0::DOUBLE * 100.0::DOUBLE)), 9) AS structure_score FROM s""")
+def table_shape_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure scores of shapes (A1, A2)."""
+    s = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("a"), F.count_if(F.col("l_returnflag") == "N").alias("b"), (F.count_distinct("l_linestatus") + 1).alias("ca"), (F.count_distinct("l_returnflag") + 1).alias("cb"))
+    return s.select("l_orderkey", F.round(tables.structure_score(F.col("a"), F.col("ca"), F.col("b"), F.col("cb")), 9).alias("structure_score"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part
+), n AS (SELECT *, lead(w) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS v FROM t
+), s AS (SELECT p_partkey, len(list_intersect(w, v)) AS b, len(w) AS n, len(v) AS m FROM n WHERE v IS NOT NULL)
+SELECT p_partkey, round(100.0::DOUBLE * greatest(2.0::DOUBLE * b / (n + m), b::DOUBLE / least(n, m)), 4) AS similarity FROM s""")
+def keyword_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dice or containment of neighbouring parts' words."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
+    part = part.withColumn("v", F.lead("w").over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("v IS NOT NULL")
+    both = F.size(F.array_intersect("w", "v"))
+    return part.select("p_partkey", F.round(100.0 * tables.set_similarity(both, F.size("w"), F.size("v")), 4).alias("similarity"))
+
+
+@query("""
+WITH x AS (SELECT a.p_partkey AS pred_index, b.p_partkey AS gt_index, 100 - abs(a.p_size - b.p_size) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)
+SELECT pred_index, gt_index, score, row_number() OVER (PARTITION BY pred_index ORDER BY score DESC, gt_index) AS place FROM x QUALIFY place <= 6""")
+def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six nearest of each part within its brand and type (J2, W2, O3): the limit is the feature."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    a, b = part.alias("a"), part.alias("b")
+    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
+    rows = pairs.select(F.col("a.p_partkey").alias("pred_index"), F.col("b.p_partkey").alias("gt_index"), (100 - F.abs(F.col("a.p_size") - F.col("b.p_size"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("pred_index").orderBy(F.desc("score"), "gt_index"))
+    return rows.withColumn("place", place.cast("bigint")).where("place <= 6")
+
+
+@query()
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one pairs of a nation's suppliers and customers, nearest balances first."""
+    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
+    pairs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).withColumn("gap", F.abs(F.col("s_acctbal") - F.col("c_acctbal")))
+    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("s_suppkey").orderBy("gap", "c_custkey"))).where("n <= 6")
+    edges = near.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("gap", F.col("s_suppkey").alias("p"), F.col("c_custkey").alias("g")))).alias("e"))
+    return edges.select("s_nationkey", F.explode(tables.greedy(F.col("e"))).alias("k")).select("s_nationkey", F.col("k.p").alias("s_suppkey"), F.col("k.g").alias("c_custkey"))
+
+
+@query("""
+WITH a AS (SELECT s_nationkey AS n, max(s_acctbal) AS x FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS n, max(c_acctbal) AS y FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1)
+SELECT coalesce(a.n, b.n) AS pred_index, CASE WHEN y IS NOT NULL AND (x IS NULL OR y > x) THEN y ELSE x END AS table_pair_score, CASE WHEN y IS NOT NULL AND (x IS NULL OR y > x) THEN 'alt' ELSE 'primary' END AS selected_gt_variant, x AS primary_pair_score, y AS alt_pair_score
+FROM a FULL JOIN b ON a.n = b.n""")
+def best_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better of two references' matches."""
+    a = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("pred_index")).agg(F.max("s_acctbal").alias("table_pair_score")).withColumn("doc", F.lit(1))
+    b = read(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0").groupBy(F.col("c_nationkey").alias("pred_index")).agg(F.max("c_acctbal").alias("table_pair_score")).withColumn("doc", F.lit(1))
+    return tables.better_of(a, b, ["doc"]).drop("doc")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % 50 AS INT) AS s, CAST(o_orderkey % 50 + 10 AS INT) AS e FROM orders)
+SELECT x.o_orderkey FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.o_custkey = x.o_custkey AND y.o_orderkey < x.o_orderkey AND x.s < y.e AND x.e > y.s)""")
+def interval_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that meet no earlier span of their document."""
+    a = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 50).cast("int").alias("start"), (F.col("o_orderkey") % 50 + 10).cast("int").alias("end"))
+    x, y = a.alias("x"), a.alias("y")
+    on = (F.col("x.o_custkey") == F.col("y.o_custkey")) & (F.col("y.o_orderkey") < F.col("x.o_orderkey")) & (F.col("x.start") < F.col("y.end")) & (F.col("x.end") > F.col("y.start"))
+    return x.join(y, on, "left_anti").select("o_orderkey")
+
+
+@query("""
+SELECT n_nationkey, CASE WHEN n_regionkey > 2 THEN 2 END AS start_page, CASE WHEN n_regionkey > 2 THEN CAST(n_regionkey AS INT) END AS end_page FROM nation""")
+def cross_page_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a marker right before a table."""
+    made = F.concat(F.lit("<!-- table spans PDF pages 9-10 --> text\n<!-- Table spans  PDF pages 2 - "), F.col("n_regionkey").cast("string"), F.lit(" -->\n\n<table><tr><td>"), "n_name", F.lit("</td></tr></table>"))
+    found = extract.tables(extract.with_tables(read(spark, sf_dir, "nation").select("n_nationkey", made.alias("text"))), ["n_nationkey"])
+    return found.select("n_nationkey", F.col("span_pages.start").alias("start_page"), F.col("span_pages.end").alias("end_page"))
+
+
+@query()
+def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table scores of rendered tables, lines of one region's nations missing in the prediction."""
+    return score.summary(score.evaluate(_rendered(spark, sf_dir), "max")).select("doc_id", "table_score", "table_structure_score", "table_content_score", "matched_table_count", "missing_table_count", "extra_table_count")
+
+
+# --- distances -------------------------------------------------------------------
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part)
+SELECT p_partkey, levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) AS distance FROM n WHERE b IS NOT NULL""")
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized distances of neighbouring names."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("b")).where("b IS NOT NULL")
+    return part.select("p_partkey", distance.normalized(F.col("a"), F.col("b"), 4_000_000).alias("distance"))
+
+
+@query()
+def segmented_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segmented distances of neighbouring benchmark items; never below the exact one."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return pairs.select("item_id", distance.segmented_udf("a", "b", F.lit(True)).alias("segmented"), F.levenshtein("a", "b").alias("exact"))
+
+
+@query()
+def body_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body scores of conversations' turns against the next turn."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = turns.withColumn("pred", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("pred IS NOT NULL")
+    return body.score(turns, "text", "pred", ScoringConfig()).select("conv_id", "turn", "text_eval.text_score", "text_eval.matched_block_count")
+
+
+# --- aggregates ------------------------------------------------------------------
+
+
+@query("""
+SELECT source AS system_id, count(*) AS document_count, round(avg(quality * 100.0::DOUBLE), 2) AS final_score, round(avg(toxic * 100.0::DOUBLE), 2) AS table_score, round(avg(least(100.0::DOUBLE, n_chars / 100.0::DOUBLE)), 2) AS title_layout_score, round(avg(n_chars % 101)::DOUBLE, 2) AS text_score
+FROM labels JOIN documents USING (doc_id) GROUP BY source""")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean scores of sources."""
+    return score.means(_source_scores(spark, sf_dir), ["system_id"], 2)
+
+
+@query("""
+WITH m AS (SELECT source AS system_id, count(*) AS document_count, round(avg(quality * 100.0::DOUBLE), 4) AS final_score, round(avg(toxic * 100.0::DOUBLE), 4) AS table_score, round(avg(least(100.0::DOUBLE, n_chars / 100.0::DOUBLE)), 4) AS title_layout_score, round(avg(n_chars % 101)::DOUBLE, 4) AS text_score
+  FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT CAST(row_number() OVER (ORDER BY final_score DESC, CAST(substr(system_id, 4) AS INT)) AS INT) AS rank, * FROM m""")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by mean score."""
+    return score.leaderboard(_source_scores(spark, sf_dir))
+
+
+def _source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return rows.select(F.col("source").alias("system_id"), F.substring("source", 4, 9).cast("int").alias("system_ordinal"), (F.col("quality") * 100.0).alias("final_score"), (F.col("toxic") * 100.0).alias("table_score"), F.least(F.lit(100.0), F.col("n_chars") / 100.0).alias("title_layout_score"), (F.col("n_chars") % 101).cast("double").alias("text_score"))
+
+
+@query("""
+WITH s AS (SELECT source, count(*) FILTER (quality = 1 AND n_chars >= 500) AS tp, count(*) FILTER (n_chars >= 500) AS p, count(*) FILTER (quality = 1) AS r FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT source, tp, p - tp AS extra, r - tp AS missing, CASE WHEN tp = 0 THEN 0.0 ELSE round(200.0::DOUBLE * tp / (p + r), 6) END AS f1 FROM s""")
+def f1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched, missing and extra counts, and F1."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    s = rows.groupBy("source").agg(F.count_if((F.col("quality") == 1) & (F.col("n_chars") >= 500)).alias("tp"), F.count_if(F.col("n_chars") >= 500).alias("p"), F.count_if(F.col("quality") == 1).alias("r"))
+    return s.select("source", "tp", (F.col("p") - F.col("tp")).alias("extra"), (F.col("r") - F.col("tp")).alias("missing"), F.when(F.col("tp") == 0, 0.0).otherwise(F.round(200.0 * F.col("tp") / (F.col("p") + F.col("r")), 6)).alias("f1"))
+
+
+@query("""
+SELECT event_type, count(*) AS events, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY event_type""")
+def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of JSON maps summed by key."""
+    rows = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,bigint>").alias("m"))
+    return rows.select("event_type", F.explode_outer("m").alias("k", "v")).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum(F.when(F.col("k") == "k", F.col("v"))).alias("total"))
+
+
+@query("""
+SELECT event_id FROM events WHERE NOT (CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN NULL WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 1 THEN TRUE ELSE FALSE END IS NOT DISTINCT FROM FALSE)""")
+def manifest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose flag isn't literally false, absent ones included."""
+    k = F.get_json_object("props", "$.k").cast("bigint") % 3
+    flag = F.when(k == 0, F.lit(None)).when(k == 1, True).otherwise(False)
+    return read(spark, sf_dir, "events").where(~flag.eqNullSafe(F.lit(False))).select("event_id")
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS doc_id, '/gt/primary/' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || CASE WHEN n_nationkey % 2 = 0 THEN '.md' ELSE '_' || n_name || '.md' END AS path FROM nation")
+def file_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of ground-truth documents by exact or prefixed name."""
+    nation = read(spark, sf_dir, "nation")
+    doc = F.lpad(F.col("n_nationkey").cast("string"), 3, "0")
+    name = F.concat(doc, F.when(F.col("n_nationkey") % 2 == 0, ".md").otherwise(F.concat(F.lit("_"), "n_name", F.lit(".md"))))
+    files = nation.select(name.alias("file_name"), F.concat(F.lit("/gt/primary/"), name).alias("path"))
+    return markdown.resolve_ground_truth(files, nation.select(doc.alias("doc_id")), "primary")
+
+
+# --- adapters and whole documents ----------------------------------------------
+
+
+@query()
+def adapted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through the adapter for wrapped divisions, with what it changed."""
+    docs = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
+    out = adapters.adapt(docs, "divs", ["doc_id"])
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.to_json("stats").alias("stats"))
+
+
+@query()
+def adapter_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the plain adapter keeps rendered documents' tables and headings, and is idempotent."""
+    docs = _rendered(spark, sf_dir).select("doc_id", F.col("pred").alias("text"))
+    once = adapters.adapt(docs, "plain", ["doc_id"])
+    return adapters.validate(docs, once, adapters.adapt(once.select("doc_id", "text"), "plain", ["doc_id"]), ["doc_id"])
+
+
+@query()
+def repeated_header_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running headers beyond the reference's own removed."""
+    docs = _rendered(spark, sf_dir).withColumn("pred", F.concat(F.lit("Annual Report\n"), "pred", F.lit("\nAnnual Report\n12\n")))
+    return cleanup.remove_repeated(docs, ["doc_id"], "pred", "gt").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "removed_line_count")
+
+
+@query()
+def canonical_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered documents in canonical form, with the counts of what changed."""
+    docs = _rendered(spark, sf_dir).select("doc_id", F.col("gt").alias("text"))
+    return canonical.canonicalize(docs).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "changed", "tables_formatted", "error")
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document a region: headings, an HTML table of nations, a pipe table of market segments, body lines; a prediction that lost some."""
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    row = F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td></tr>"))
+    gt = _lined(nation, ["n_regionkey"], ["n_nationkey"], row, "").withColumnRenamed("lines", "gt_table")
+    pred = _lined(nation.where("n_nationkey % 7 <> 4"), ["n_regionkey"], ["n_nationkey"], row, "").withColumnRenamed("lines", "pred_table")
+    seg = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    segments = _lined(seg, ["n_regionkey"], ["c_mktsegment"], F.concat(F.lit("| "), "c_mktsegment", F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))).withColumnRenamed("lines", "segments")
+    names = _lined(nation, ["n_regionkey"], ["n_nationkey"], F.concat(F.lit("## "), "n_name", F.lit("\nThe nation of "), "n_name", F.lit(".\n"))).withColumnRenamed("lines", "body")
+    docs = gt.join(pred, "n_regionkey").join(segments, "n_regionkey").join(names, "n_regionkey").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    whole = lambda table, content: F.concat(F.lit("# "), "r_name", F.lit("\n\n<table>"), table, F.lit("</table>\n\n"), content, F.lit("\n| segment | customers |\n|---|---|\n"), "segments", F.lit("\n"))
+    return docs.select(F.lit("rendered").alias("system_id"), F.col("r_regionkey").cast("string").alias("doc_id"), whole("gt_table", F.col("body")).alias("gt"), whole("pred_table", F.replace("body", F.lit("The nation"), F.lit("A nation"))).alias("pred"), whole("gt_table", F.col("body")).alias("gt_alt"))
+
+
+@query()
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against a prediction that lost rows and words: all component scores."""
+    return score.summary(score.evaluate(_rendered(spark, sf_dir), "max"))
+
 
-def queries() -> dict:
-    return {}
+@query()
+def document_scores_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against the primary reference only, tables matched in order."""
+    return score.summary(score.evaluate(_rendered(spark, sf_dir), "primary"))
 
 
-def oracle_sql() -> dict:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_scores(spark, sf_dir)
