@@ -318,7 +318,7 @@ def stretches(lists: list[np.ndarray], span: int) -> list[tuple[int, int]]:
             b = min(last.values())
             if v + 1 - b <= span and (not out or out[-1][0] != b):
                 out.append((b, v + 1))
-    return [s for s, following in zip(out, [*out[1:], (None, None)], strict=True) if following[1] != s[1]]
+    return [s for s, following in zip(out, [*out[1:], (None, None)]) if following[1] != s[1]]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ def export(bundles: DataFrame, folder: str) -> DataFrame:
         store.create_dir(root, recursive=True)
         for batch in batches:
             for name, data in zip(batch.column("bundle").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                with store.open_output_stream(f"{root}/{name}.warc.zst") as out:
+                with store.open_output_stream(f"{root}/{name}.warc.zst", compression=None) as out:
                     out.write(data)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}.warc.zst"]), pa.array([len(data)], pa.int64())], ["path", "bytes"])
 
