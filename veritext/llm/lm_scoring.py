@@ -40,10 +40,10 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(common.LOWER_TABLE).split()
 
 
-def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents() with a boolean target. The ids of target documents are joined by a broadcast only if Spark's size check allows it."""
+def with_target(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(doc_id, ids) with a boolean target, by a join that both sides shuffle at any size: what is shuffled of a document are its numbers."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    return common.documents(docs).join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    return rows.hint("merge").join(good.hint("merge"), "doc_id", "left").select("ids", F.coalesce("target", F.lit(False)).alias("target"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -82,23 +82,38 @@ class Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         return 0
 
-    def pairs(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        now = np.array([self[w] for w in tokens(text)], np.int64)
-        return np.concatenate([[self.begin], now[:-1]]) if len(now) else now, now
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.array([self[w] for w in tokens(text)], np.uint16 if self.begin < 2**16 else np.uint32)
 
 
-def bigram_counts(rows: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram counts of all rows, and of those that are target: two tables of (len + 2) squared, summed by task and then by row."""
-    size = len(words) + 2
-    sent = rows.sparkSession.sparkContext.broadcast(words)
+def before(ids: np.ndarray, begin: int) -> np.ndarray:
+    """The number before each one."""
+    return np.concatenate([[begin], ids[:-1]])[: len(ids)].astype(np.int64)
+
+
+def numbered(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """(doc_id, ids) of each row: its words' numbers in the vocabulary, in bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(sent.value)
-        total = np.zeros((2, size * size), np.int64)
         for part, texts in common.text_chunks(batches):
-            for t, target in zip(texts, part.column("target").to_pylist(), strict=True):
-                before, now = numbers.pairs(t)
-                at, n = np.unique(before * size + now, return_counts=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([numbers.ids(t).tobytes() for t in texts], pa.binary())], ["doc_id", "ids"])
+
+    return common.documents(docs).mapInArrow(run, "doc_id bigint, ids binary")
+
+
+def bigram_counts(rows: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bigram counts of all rows(ids, target), and of those that are target: two tables of (n_words + 2) squared, summed by task and then by row."""
+    size = n_words + 2
+    kind = np.uint16 if n_words + 1 < 2**16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size * size), np.int64)
+        for batch in batches:
+            for body, target in zip(batch.column("ids").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                now = np.frombuffer(body, kind).astype(np.int64)
+                at, n = np.unique(before(now, size - 1) * size + now, return_counts=True)
                 total[0, at] += n
                 if target:
                     total[1, at] += n
@@ -152,11 +167,12 @@ def score(rows: DataFrame, words: list[bytes], target: np.ndarray, background: n
         for part, texts in common.text_chunks(batches):
             n, k, a, b = [], [], [], []
             for t in texts:
-                before, now = numbers.pairs(t)
+                now = numbers.ids(t).astype(np.int64)
+                last = before(now, numbers.begin)
                 n.append(len(now))
                 k.append(int((now > 0).sum()))
-                a.append(float(own[before, now].mean()) if len(now) else None)
-                b.append(float(other[before, now].mean()) if len(now) else None)
+                a.append(float(own[last, now].mean()) if len(now) else None)
+                b.append(float(other[last, now].mean()) if len(now) else None)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_tokens", "n_known", "target_loss", "background_loss"])
 
     out = rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, target_loss double, background_loss double")
@@ -166,7 +182,7 @@ def score(rows: DataFrame, words: list[bytes], target: np.ndarray, background: n
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """Scores every row of docs against the target documents that labels name."""
     words = vocabulary(docs, size)
-    background, target = bigram_counts(with_target(docs, labels), words)
+    background, target = bigram_counts(with_target(numbered(docs, words), labels), len(words))
     return score(common.documents(docs), words, *models(background, target))
 
 
