@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.config import DIGITS, ScoringConfig
 from veritext.functions import kernels, rules
-from veritext.functions.arrow import arrow_udf
+from veritext.functions.arrow import arrow_udf, settled
 from veritext.functions.rules import Rule
 
 # --- Arrow UDFs ----------------------------------------------------------------
@@ -217,7 +217,13 @@ def repeated_headers(normal: Column) -> Column:
     return F.filter(F.array_distinct(small), lambda x: report_header(x) & (F.size(F.filter(small, lambda y: y == x)) >= 3))
 
 
-def body(c: Column, config: ScoringConfig, remove_repeated: bool = False) -> Column:
+def body(c: Column, config: ScoringConfig) -> Column:
     """The body's normal form of a document without tables."""
-    normal = semantic_udf(config)(c)
-    return body_lines(normal, repeated_headers(normal) if remove_repeated else None)
+    return body_lines(semantic_udf(config)(c))
+
+
+def with_body(docs: DataFrame, column: str, name: str, config: ScoringConfig, remove_repeated: bool = False) -> DataFrame:
+    """docs with the body's normal form; remove_repeated: without lines that name a report and occur three times or more."""
+    docs = docs.withColumn("_normal", settled(semantic_udf(config)(F.col(column))))
+    known = repeated_headers(F.col("_normal")) if remove_repeated else None
+    return docs.withColumn(name, body_lines(F.col("_normal"), known)).drop("_normal")

@@ -132,18 +132,18 @@ def remove_page_noise(keys: list[str]) -> Step:
     """Page numbers go, and all but the first of a running header that repeats outside of tables: counts and order by windows over lines."""
 
     def step(docs: DataFrame) -> DataFrame:
-        lines = docs.select(*keys, F.posexplode(text.lines(F.col("text"))).alias("n", "line"))
+        lines = docs.select(*keys, F.posexplode_outer(text.lines(F.col("text"))).alias("n", "line"))
         low = F.lower("line")
         order = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
         opened = F.regexp_count(low, F.lit(r"<table\b")) - F.regexp_count(low, F.lit(r"</table\s*>"))
         inside = (F.coalesce(F.sum(opened).over(order), F.lit(0)) > 0) | F.contains(low, F.lit("<table"))
-        lines = lines.withColumns({"key": text.line_key(F.col("line")), "number": text.adapter_page_number(F.col("line")), "header": ~inside & text.running_header(F.col("line"))})
+        lines = lines.withColumns({"key": text.line_key(F.col("line")), "number": F.coalesce(text.adapter_page_number(F.col("line")), F.lit(False)), "header": F.coalesce(~inside & text.running_header(F.col("line")), F.lit(False))})
         same = Window.partitionBy(*keys, "header", "key")
         # A page number is never counted as a header's occurrence that goes: it goes before.
         seen = F.sum((F.col("header") & ~F.col("number")).cast("int")).over(same.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         lines = lines.withColumns({"times": F.count(F.lit(1)).over(same), "seen": seen})
         again = ~F.col("number") & F.col("header") & (F.col("times") >= 2) & (F.col("seen") > 1)
-        kept = F.when(~F.col("number") & ~again, F.struct("n", "line"))
+        kept = F.when(F.col("n").isNotNull() & ~F.col("number") & ~again, F.struct("n", "line"))
         one = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(kept)).alias("_k"), F.count_if("number").alias("_p"), F.count_if(again).alias("_h"))
         docs = docs.drop("text").join(one, keys).withColumn("text", F.array_join(F.transform("_k", lambda x: x["line"]), "\n"))
         return counted(docs, standalone_page_numbers_removed=F.col("_p"), duplicate_running_headers_removed=F.col("_h")).drop("_k", "_p", "_h")
@@ -229,5 +229,6 @@ def manifest(before: DataFrame, after: DataFrame, checks: DataFrame, system: str
     row = F.struct(F.col(id_col).alias("id"), name.alias("source"), name.alias("output"), "source_sha256", "output_sha256", "changes", valid.alias("validation"))
     totals = files.select(F.explode("changes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("totals"))
     constraints = F.struct(*[F.lit(False).alias(c) for c in schemas.CONSTRAINTS])
-    listed = files.agg(F.sort_array(F.collect_list(row)).alias("files"))
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    listed = files.agg(F.array_sort(F.collect_list(row), by_id).alias("files"))
     return listed.crossJoin(totals).select(F.lit(system).alias("system"), F.lit(adapter).alias("adapter"), constraints.alias("constraints"), F.array(*[F.lit(t) for t in told]).cast("array<string>").alias("rules"), "totals", "files")
