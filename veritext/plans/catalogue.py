@@ -399,7 +399,7 @@ def f1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type, count(*) AS events, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY event_type""")
+SELECT event_type, count(*) AS events, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type""")
 def counter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of JSON maps summed by key."""
     rows = read(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,bigint>").alias("m"))
