@@ -37,10 +37,11 @@ def deal(values: np.ndarray, fragment: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(fragment[order], np.arange(1, n)))
 
 
-def rows(source: int, kept: bytes, parts: list[tuple[int, bytes, bytes]], n: int) -> pa.RecordBatch:
-    """A source's rows: what it keeps (dealt over negative fragments, which only pass it on), and its parts (fragment, body, marks)."""
+def rows(source: int, kept: bytes, parts: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    """A source's rows: what it keeps (under a negative fragment of its own, which only passes it on), and its parts (fragment, body, marks)."""
+    own = -1 - (source * 0x9E3779B97F4A7C15 >> 33) % 2**30
     return pa.RecordBatch.from_arrays(
-        [pa.array(["m"] + ["f"] * len(parts)), pa.array([source] * (len(parts) + 1), pa.int64()), pa.array([-1 - source % n, *[p[0] for p in parts]], pa.int32()),
+        [pa.array(["m"] + ["f"] * len(parts)), pa.array([source] * (len(parts) + 1), pa.int64()), pa.array([own, *[p[0] for p in parts]], pa.int32()),
          pa.array([kept, *[p[1] for p in parts]], pa.binary()), pa.array([b"", *[p[2] for p in parts]], pa.binary())], schema=ARROW)
 
 

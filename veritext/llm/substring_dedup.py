@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         hashes, key = common.Hashes(), common.task_key()
         for part, texts in common.text_chunks(batches):
             _, parts, _ = anchor_parts(Slice(texts, hashes))
-            yield exchange.rows(key(), exchange.pack(part.column("doc_id").to_pylist(), texts), parts, n)
+            yield exchange.rows(key(), exchange.pack(part.column("doc_id").to_pylist(), texts), parts)
 
     def send_windows(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
         ids, texts, _ = exchange.unpack(kept)
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         runs = np.flatnonzero(np.diff(np.concatenate([[-2], starts])) != 1)
         spans = np.stack([starts[runs], np.diff(np.append(runs, len(starts)))], 1).astype("<u4").tobytes()
         sent, _ = window_parts(cut, starts)
-        return pa.Table.from_batches([exchange.rows(source, exchange.pack(ids, texts, spans), sent, m)])
+        return pa.Table.from_batches([exchange.rows(source, exchange.pack(ids, texts, spans), sent)])
 
     def finish(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
         ids, texts, spans = exchange.unpack(kept)
