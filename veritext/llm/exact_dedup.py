@@ -192,8 +192,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    return dedup(docs.where(is_history()), docs.where(~is_history()))
+    return verdicts(digest_rows(common.table(spark, sf_dir, "documents")).withColumn("old", is_history()))
 
 
 ORACLE = """
