@@ -34,8 +34,8 @@ from veritext.llm import common
 
 BLANK = "▁"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-#: Chunks and their ids that a worker keeps.
-KEPT_CHUNKS = 600_000
+#: Chunks, and parts of chunks, that a worker keeps with their ids.
+KEPT_CHUNKS, KEPT_PARTS = 500_000, 250_000
 
 
 class Model:
@@ -66,8 +66,9 @@ class Model:
         self.cut = re.compile(r" *[^ \n]+| +|\n" if safe else r"(?s).+")
         #: Neighbouring characters that some piece holds: no piece spans any others.
         self.inner = {p[k : k + 2] for p in plain for k in range(len(p) - 1)}
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, list[int]] = {}
+        #: Ids in bytes; with the decoded bytes too where these aren't the chunk's own.
+        self.kept: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text whose blanks are escaped, by the agenda of adjacent pairs."""
@@ -135,14 +136,16 @@ class Model:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of a chunk of the text with its prefix blank."""
         text, inner, parts = raw.replace(" ", BLANK), self.inner, self.parts
         cuts = [0, *[i for i, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in inner], len(text)]
-        ids: list[int] = []
+        out = []
         for a, b in zip(cuts, cuts[1:]):
             if (found := parts.get(part := text[a:b])) is None:
-                if len(parts) > KEPT_CHUNKS:
+                if len(parts) > KEPT_PARTS:
                     parts.clear()
-                found = parts[part] = self.merge(part)
-            ids += found
-        return struct.pack(f"<{len(ids)}I", *ids), self.surface_of(ids)
+                ids = self.merge(part)
+                found = parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(found)
+        data = b"".join(out)
+        return data, self.surface_of(list(struct.unpack(f"<{len(data) // 4}I", data)))
 
     def encode(self, text: str) -> list[int]:
         """All ids of a whole text, with begin and end."""
@@ -200,16 +203,18 @@ def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tup
         kept.clear()
     parts = [cut(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
     new = [c for c in set().union(*parts) if c not in kept]
-    for c in new:
-        kept[c] = model.chunk(c)
+    made = {c: model.chunk(c) for c in new}
     if check and new:
-        verify(model, new)
+        verify(model, made)
+    # Where all chunks decode to themselves, so does the text.
+    kept.update((c, m[0] if m[1] == c.encode() else m) for c, m in made.items())
     begin, end = struct.pack("<I", model.bos), struct.pack("<I", model.eos)
     out = []
     for chunks in parts:
-        pairs = [kept[c] for c in chunks]
-        ids = b"".join([begin, *[p[0] for p in pairs], end])
-        text = b"".join([p[1] for p in pairs])
+        found = [kept[c] for c in chunks]
+        odd = any(type(x) is tuple for x in found)
+        ids = b"".join([begin, *([x[0] if type(x) is tuple else x for x in found] if odd else found), end])
+        text = b"".join([x[1] if type(x) is tuple else c.encode() for c, x in zip(chunks, found)]) if odd else "".join(chunks).encode()
         out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text[1:]).hexdigest(), ids))
     if check and texts:
         ids = [model.bos, *model.library.encode(texts[0]), model.eos]
@@ -219,15 +224,15 @@ def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tup
     return out
 
 
-def verify(model: Model, chunks: list[str]) -> None:
+def verify(model: Model, made: dict[str, tuple[bytes, bytes]]) -> None:
     """Compares chunks' ids and decoded texts with the library's. The library puts a blank before its input, so that of a chunk is taken off."""
-    own = [c for c in chunks if c[0] == " "]
-    for c, ids in zip(own, model.library.encode([c[1:] for c in own], num_threads=1), strict=True):
-        if len(c) > 1 and struct.pack(f"<{len(ids)}I", *ids) != model.kept[c][0]:
+    own = [c for c in made if c[0] == " "]
+    ids = [list(struct.unpack(f"<{len(made[c][0]) // 4}I", made[c][0])) for c in own]
+    for c, mine, theirs in zip(own, ids, model.library.encode([c[1:] for c in own], num_threads=1), strict=True):
+        if len(c) > 1 and mine != theirs:
             raise ValueError(f"chunk {c[:80]!r} is encoded otherwise than by the library")
-    texts = model.library.decode([list(struct.unpack(f"<{len(model.kept[c][0]) // 4}I", model.kept[c][0])) for c in own], num_threads=1)
-    for c, text in zip(own, texts, strict=True):
-        if text.encode() != model.kept[c][1][1:]:
+    for c, text in zip(own, model.library.decode(ids, num_threads=1), strict=True):
+        if text.encode() != made[c][1][1:]:
             raise ValueError(f"chunk {c[:80]!r} is decoded otherwise than by the library")
 
 
