@@ -408,6 +408,21 @@ def test_lm_scoring(spark, docs, texts):
             assert r.score is None
 
 
+def test_lm_scoring_whole(spark, docs, texts):
+    """Rare words count apart: 1,500 words are more than the fixed vocabulary."""
+    many = {1000 + i: " ".join(f"w{(7 * i + j) % 1500}" for j in range(40)) for i in range(300)}
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([*many.items(), (None, "w1 w2"), (1000, "w5 w4 w5")], "doc_id bigint, text string"))
+    n_words = len({w for t in [*texts.values(), *many.values()] for w in words((t or "").translate(LOW))})
+    assert n_words > lm_scoring.VOCABULARY
+    for good in ({i for i in [*texts, *many] if i and i % 3 == 0}, set()):
+        labels = spark.createDataFrame([(i, 1) for i in good] + [(None, 1)], "doc_id bigint, quality int")
+        want = lm_scoring.cross_entropy_difference(more, labels, n_words)
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+        for a, b in zip(sorted(lm_scoring.whole(more, labels).collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            assert a[:3] == b[:3] and (a[3:] == b[3:] == (None, None, None) if not a.n_tokens else np.allclose(a[3:], b[3:], atol=2e-4))
+    assert lm_scoring.whole(more.limit(0), labels).count() == 0
+
+
 # --- awkward tables ----------------------------------------------------------------
 
 

@@ -10,6 +10,11 @@ Word and bigram counts are taken over all rows, summed within each task and then
 by key. The models are a dense table of (VOCABULARY + 2) squared differences,
 whose size does not depend on the corpus; it is broadcast.
 
+whole() has the same models over every word of the corpus, whose size grows with
+it: counts of bigrams, contexts and words under 64-bit keys, which slices of the
+documents sum beforehand and ask for by a packed exchange; nothing is broadcast
+or collected. ORACLE fixes the vocabulary of query(); whole() is query_whole().
+
 Target: documents with label quality 1. Background: all documents.
 
 Defined cases: a null or empty text has no tokens and a null score; a null
@@ -25,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritext.llm import common
+from veritext.llm import common, exchange
 
 #: Words of the shared vocabulary; the weights of the bigram and unigram parts; what is added to each word's count.
 VOCABULARY, BIGRAM, ADDED = 1024, 0.7, 0.1
 #: Distinct words that a task holds before it passes its counts on.
 MOST_WORDS = 400_000
+#: The word before a document's first; what sets the keys of bigrams, contexts and words apart; a multiplier for keys.
+BEGIN, AS_PAIR, AS_CONTEXT, AS_WORD, SPREAD = (np.uint64(x) for x in (1, 2, 3, 5, 0x9E3779B97F4A7C15))
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -186,6 +194,107 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOC
     return score(common.documents(docs), words, *models(background, target))
 
 
+# --- models over all words -----------------------------------------------------
+
+
+def slice_counts(texts: list[bytes], target: list[bool], hashes: common.Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, counts in target texts) of a slice's bigrams, contexts and words; each token's three places among them; the text of each token."""
+    parts = [common.hash_words(hashes, tokens(t)) for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    of = np.repeat(np.arange(len(parts)), sizes)
+    words, now = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
+    k = len(words)
+    last = np.concatenate([[k], now[:-1]])[: len(now)].astype(np.int64)
+    last[np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]] = k
+    pairs, pair = np.unique(last * (k + 1) + now, return_inverse=True)
+    contexts = np.append(words, BEGIN)
+    keys = np.concatenate([
+        common.mix(common.mix(contexts[pairs // (k + 1)] + AS_PAIR) * SPREAD + contexts[pairs % (k + 1)]),
+        common.mix(common.mix(contexts + AS_CONTEXT) * SPREAD), common.mix(common.mix(words + AS_WORD) * SPREAD)])
+    places = np.stack([pair, len(pairs) + last, len(pairs) + k + 1 + now])
+    own = np.asarray(target, bool)[of] if len(of) else np.zeros(0, bool)
+    return keys, np.bincount(places.ravel(), minlength=len(keys)), np.bincount(places[:, own].ravel(), minlength=len(keys)), places, of
+
+
+def _packed(*counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(counts).astype("<i8").tobytes())
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), "<i8").reshape(2, -1)
+
+
+def _totals(parts: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """For each source's keys: both counts over all sources."""
+    keys = [np.frombuffer(b, "<u8") for b, _ in parts]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_unpacked(m) for _, m in parts], axis=1)
+    sums = np.zeros((2, at.max() + 1), np.int64)
+    for total, n in zip(sums, counts, strict=True):
+        np.add.at(total, at, n)
+    return [(_packed(*sums[:, mine]), b"") for mine in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def model_sizes(rows: DataFrame) -> tuple[int, int, int]:
+    """(distinct words, tokens, tokens of target rows) of rows(text, target)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = common.Hashes()
+        for part, texts in common.text_chunks(batches):
+            found = [common.hash_words(hashes, tokens(t)) for t in texts]
+            own = np.repeat(np.array(part.column("target").to_pylist(), bool), [len(f) for f in found])
+            words, at = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(at, minlength=len(words))), pa.array(np.bincount(at[own], minlength=len(words)))], ["word", "n", "own"])
+
+    words = rows.mapInArrow(run, "word bigint, n bigint, own bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    found = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum("own")).first()
+    return found[0], found[1] or 0, found[2] or 0
+
+
+def whole(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What cross_entropy_difference() gives with a vocabulary of all words."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    marked = common.documents(docs).hint("merge").join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    # A task that is run again must read its slices in the same order, as from a file.
+    rows = common.stored(marked, "lm-rows", compression="zstd")
+    n_words, n_tokens, n_target = model_sizes(rows)
+    n = exchange.fragments_for(exchange.total_bytes(rows) / 6)
+    size = n_target or n_tokens
+
+    def dealt(keys: np.ndarray) -> list[np.ndarray]:
+        return exchange.deal(keys, ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key = common.Hashes(), common.task_key()
+        for part, texts in common.text_chunks(batches):
+            keys, all_, own, _, _ = slice_counts(texts, part.column("target").to_pylist(), hashes)
+            parts = [(f, keys[idx].astype("<u8").tobytes(), _packed(all_[idx], own[idx])) for f, idx in enumerate(dealt(keys)) if len(idx)]
+            yield exchange.rows(key(), exchange.pack(part.column("doc_id").to_pylist(), texts), parts)
+
+    def losses_of(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int) -> np.ndarray:
+        single = (word * (size / total if total else 0.0) + ADDED) / ((size if total else 0) + ADDED * (n_words + 2))
+        return -np.log(np.where(context > 0, BIGRAM * pair / np.maximum(context, 1) + (1 - BIGRAM) * single, single))
+
+    def finish(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
+        ids, texts, _ = exchange.unpack(kept)
+        keys, _, _, places, of = slice_counts(texts, [False] * len(texts), common.Hashes())
+        counts = np.zeros((2, len(keys)), np.int64)
+        for f, idx in enumerate(dealt(keys)):
+            if len(idx):
+                counts[:, idx] = _unpacked(parts[f][0])
+        found = np.bincount(of, minlength=len(ids))
+        mean = [np.bincount(of, losses_of(*c[places], total), len(ids)) / np.maximum(found, 1) for c, total in zip(counts, (n_tokens, n_target), strict=True)]
+        return pa.table([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), *[pa.array(m, pa.float64(), mask=found == 0) for m in mean]], ["doc_id", "n_tokens", "background_loss", "target_loss"])
+
+    sent = rows.mapInArrow(send, exchange.SCHEMA)
+    out = exchange.collect_sources(exchange.exchange(sent, _totals), finish, "doc_id bigint, n_tokens bigint, background_loss double, target_loss double")
+    return out.select("doc_id", "n_tokens", F.col("n_tokens").alias("n_known"), F.round("target_loss", 4).alias("target_loss"), F.round("background_loss", 4).alias("background_loss"), F.round(F.col("target_loss") - F.col("background_loss"), 4).alias("score"))
+
+
+def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -213,3 +322,6 @@ WITH w AS (
 ), s AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (now > 0) AS n_known, avg(la) AS la, avg(lb) AS lb FROM pairs JOIN l USING (before, now) GROUP BY r)
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_known, 0) AS n_known, round(la, 4) AS target_loss, round(lb, 4) AS background_loss, round(la - lb, 4) AS score FROM w LEFT JOIN s USING (r)
 """
+
+#: The same with every word numbered.
+WHOLE_ORACLE = ORACLE.replace(f" QUALIFY k <= {VOCABULARY}", "")

@@ -10,6 +10,7 @@ from veritext.llm import decontamination, exact_dedup, jaccard_join, lm_scoring,
 def queries() -> dict:
     return {
         "op1_lm_scoring": lm_scoring.query,
+        "op1_lm_scoring_whole": lm_scoring.query_whole,
         "op2_secret_scan": secret_scan.query,
         "op3_warc_bundles": warc_bundles.query,
         "op4_quality_classifier": quality_classifier.query,
@@ -26,6 +27,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_lm_scoring": lm_scoring.ORACLE,
+        "op1_lm_scoring_whole": lm_scoring.WHOLE_ORACLE,
         "op3_warc_bundles": warc_bundles.ORACLE,
         "op6_jaccard_join": jaccard_join.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
