@@ -150,6 +150,20 @@ def test_jaccard_join(docs, texts, k, num):
     assert len(set(component.values())) < len(texts) - 4
 
 
+def test_jaccard_links_are_complete(spark, monkeypatch):
+    """Sets that all link with one another count each other; blocks of 4 split the hot shingles."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    body = [f"w{j}" for j in range(200)]
+    texts = {i: " ".join([*body[: i % 15], f"x{i}", *body[i % 15 + 1 :]]) for i in range(1, 31)} | {40: " ".join(body), 41: " ".join(body), 50: "quite another text of its own", 51: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    sets, component = linked(texts, 3, 90, 100)
+    distinct = set(sets.values())
+    want = {i: (component[i], sum(s != t and bool(s and t) and 100 * len(s & t) >= 90 * len(s | t) for t in distinct)) for i, s in sets.items()}
+    assert want[1][1] > 20 and want[40] == want[41] and want[50][1] == want[51][1] == 0
+    assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.join(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in jaccard_join.connected(docs).collect()} == component
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)]

@@ -16,6 +16,7 @@ def queries() -> dict:
         "op4_quality_classifier": quality_classifier.query,
         "op5_sentencepiece": sentencepiece_bpe.query,
         "op6_jaccard_join": jaccard_join.query,
+        "op6_jaccard_join_links": jaccard_join.query_links,
         "op7_exact_dedup": exact_dedup.query,
         "op8_pii": pii.query,
         "op9_decontamination": decontamination.query,
@@ -30,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_lm_scoring_whole": lm_scoring.WHOLE_ORACLE,
         "op3_warc_bundles": warc_bundles.ORACLE,
         "op6_jaccard_join": jaccard_join.ORACLE,
+        "op6_jaccard_join_links": jaccard_join.LINKS_ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
