@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veritext.config import ScoringConfig
 from veritext.functions import markup
 from veritext.operators import cleanup, distance, extract, headings, tables
-from veritext.plans import report, score
+from veritext.plans import catalogue, report, score
 
 
 def cell(text, down=1, across=1):
@@ -167,3 +167,12 @@ def test_cleanup(spark):
     config = ScoringConfig(remove_pred_header_footer=True)
     one = spark.createDataFrame([("s", "d", "body", "body\n12\n12")], "system_id string, doc_id string, gt string, pred string")
     assert score.evaluate(one, "primary", config).first().removed_line_count == 2
+
+
+def test_level_alignment_takes_all_rows(spark, tmp_path):
+    rows = [(k, "Customer" + "x" * (k % 7), 0 if k <= 330 else 1) for k in range(1, 601)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    a, b = (np.array([len(n) + k % 3 for k, n, g in rows if g == nation], float) for nation in (0, 1))
+    cost, ops = headings.align(len(a), len(b), np.abs(a[:, None] - b[None, :]))
+    got = catalogue.queries()["level_alignment"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(0, cost, len(ops))] and len(ops) >= 330
