@@ -103,6 +103,17 @@ def test_sentencepiece_against_library(spark, docs, texts):
         assert r.decoded == model.library.decode(r.ids)
 
 
+def test_sentencepiece_checks_line_starts():
+    """A wrong chunk at the start of a line, in a text that is not its slice's first, is found."""
+    model = sentencepiece_bpe.Model(sentencepiece_bpe.read_model(sentencepiece_bpe.default_model()))
+    own = model.chunk
+    assert len(sentencepiece_bpe.encode_texts(model, ["plain", "one two\nthree\n\n\tfour \u2581 x\r\n\u00e9\U0001f600"])) == 2
+    model.kept.clear()
+    model.chunk = lambda c: own("wrong") if c == "Start" else own(c)
+    with pytest.raises(ValueError, match="Start"):
+        sentencepiece_bpe.encode_texts(model, ["plain", "one\nStart here"])
+
+
 def test_sentencepiece_odd_strings():
     model = sentencepiece_bpe.Model(sentencepiece_bpe.read_model(sentencepiece_bpe.default_model()))
     rng = random.Random(5)

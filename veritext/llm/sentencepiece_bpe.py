@@ -234,6 +234,16 @@ def verify(model: Model, made: dict[str, tuple[bytes, bytes]]) -> None:
     for c, text in zip(own, model.library.decode(ids, num_threads=1), strict=True):
         if text.encode() != made[c][1][1:]:
             raise ValueError(f"chunk {c[:80]!r} is decoded otherwise than by the library")
+    # Other chunks follow a line break here, as no piece spans one; the library's ids and text of the break are taken off.
+    rest = [c for c in made if c[0] != " "]
+    head = model.library.encode("\n")
+    ids = [list(struct.unpack(f"<{len(made[c][0]) // 4}I", made[c][0])) for c in rest]
+    for c, mine, theirs in zip(rest, ids, model.library.encode(["\n" + c for c in rest], num_threads=1), strict=True):
+        if head + mine != theirs:
+            raise ValueError(f"chunk {c[:80]!r} is encoded otherwise than by the library")
+    for c, text in zip(rest, model.library.decode([head + x for x in ids], num_threads=1), strict=True):
+        if text.encode() != b"\n" + made[c][1]:
+            raise ValueError(f"chunk {c[:80]!r} is decoded otherwise than by the library")
 
 
 def encoder(proto: bytes, check: bool, with_ids: bool):
