@@ -55,7 +55,7 @@ def texts():
 @pytest.fixture(scope="module")
 def bench(spark, texts):
     long = [t for t in texts.values() if t and len(t.split()) > 100]
-    items = [(1, " ".join(long[0].split()[10:40])), (2, "one two"), (3, long[1][:200].upper()), (10, "zzzz not there at all anywhere in these texts ever"), (11, ""), (12, None), (2, "one TWO"), (13, " ".join(long[0].split()[12:24]))]
+    items = [(1, " ".join(long[0].split()[10:40])), (2, "one two"), (3, long[1][:200].upper()), (10, "zzzz not there at all anywhere in these texts ever"), (11, ""), (12, None), (2, "one TWO"), (13, " ".join(long[0].split()[12:24])), (14, " ".join(reversed(long[2].split()[20:31])))]
     return spark.createDataFrame(items, "item_id bigint, text string")
 
 
@@ -190,11 +190,52 @@ def test_components(spark):
     assert got == {x: min(s) for x, s in root.items() if len(s) > 1}
 
 
-def test_repeated_counts():
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes, others don't, at any place and across blocks."""
+    rng = random.Random(1)
+    texts = [b"", b" \t\n", b"a", b"one two  three\x0cfour\x0b", b"x" * 200 + b" y", b" ".join(b"q" * n for n in range(55, 70))]
+    texts += [" ".join("".join(rng.choice("ab\u00e9\u65e5Z") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 50))).encode() for _ in range(100)]
+    for block in (64, 1 << 15):
+        monkeypatch.setattr(common, "HASH_BLOCK", block)
+        common._block_powers.cache_clear()
+        hashes, counts = common.word_hashes(texts, common.LOWER_TABLE)
+        found = [t.translate(common.LOWER_TABLE).split() for t in texts]
+        assert counts.tolist() == [len(w) for w in found]
+        pairs = set(zip((w for ws in found for w in ws), hashes.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    common._block_powers.cache_clear()
+
+
+@pytest.mark.parametrize("two_levels", [False, True])
+def test_exchange(spark, monkeypatch, two_levels):
+    """Sums over all slices equal those made at once, also by way of coarse fragments and blocks."""
     rng = np.random.default_rng(0)
-    parts = [(np.unique(rng.integers(0, 50, 30)), None) for _ in range(4)]
-    total = Counter(v for p, _ in parts for v in p.tolist())
-    assert [x.tolist() for x in exchange.repeated(parts)] == [[total[v] for v in p.tolist()] for p, _ in parts]
+    sent = {i: np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64) >> np.uint64(0))[:50] for i in range(12)}
+    common_ = rng.integers(0, 2**64, 20, dtype=np.uint64)
+    sent = {i: np.concatenate([h, rng.choice(common_, 8), common_[:2]]) for i, h in sent.items()}
+    deal = exchange.Deal(100, 12)
+    if two_levels:
+        deal.n, deal.direct, deal.blocks = 12, 4, 3
+    for kind, narrow in ((deal.marks(32), 32), (exchange.Counts(2), 48)):
+        batches = [exchange.Dealt(deal, h, kind, narrow).rows(i, np.stack([np.ones(len(h), np.int64), h.astype(np.int64) % 3]) if kind.rows == 2 else None) for i, h in sent.items()]
+        rows = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], exchange.SQL).repartition(3)
+        replies = defaultdict(dict)
+        for r in exchange.exchange(rows, deal, kind).collect():
+            replies[r.source][r.fragment] = bytes(r.body)
+        total = Counter(v for h in sent.values() for v in h.tolist())
+        for i, h in sent.items():
+            sums = exchange.Dealt(deal, h, kind, narrow).sums(replies[i])
+            if kind.rows == 1:
+                assert ((sums[0] > 1) == [total[v] > 1 for v in h.tolist()]).all()
+            else:
+                assert sums[0].tolist() == [total[v] for v in h.tolist()] and sums[1].tolist() == [total[v] * (int(np.uint64(v).astype(np.int64)) % 3) for v in h.tolist()]
+
+
+def test_exchange_rows_are_linear():
+    """Twice the input has twice the slices, each with as many rows: no more than WIDTH however many fragments there are."""
+    hashes = np.random.default_rng(1).integers(0, 2**64, 50_000, dtype=np.uint64)
+    rows = [exchange.Dealt(d := exchange.Deal(features, 10), hashes, d.marks(32), 32).rows(0).num_rows for features in (1e10, 1e12)]
+    assert max(rows) <= exchange.WIDTH
 
 
 # --- decontamination ---------------------------------------------------------------
@@ -203,9 +244,9 @@ def test_repeated_counts():
 def test_decontamination(docs, bench, texts):
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     items = [(r.item_id, tokens(r.text)) for r in bench.collect()]
-    found = decontamination.report(decontamination.find(docs, bench))
+    found = decontamination.report(decontamination.find(docs, bench, span=20))
     got = {r.doc_id: r for r in found.collect()}
-    hits = 0
+    hits = close = 0
     for i, t in texts.items():
         w, hit, seen = tokens(t), set(), set()
         for item, x in items:
@@ -216,15 +257,18 @@ def test_decontamination(docs, bench, texts):
                     hit |= set(range(k, k + n))
                     seen.add(str(item))
         hits += len(hit)
-        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(w), len(hit), len(seen), sha(",".join(sorted(seen))), bool(hit))
-    assert hits > 50
+        stretch = [set(w[k : k + 20]) for k in range(max(len(w) - 19, 1))]
+        near = {str(item) for item, x in items if (n := min(10, len(x))) and any(set(x[k : k + n]) <= s for k in range(len(x) - n + 1) for s in stretch)}
+        close += len(near - seen)
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated, got[i].n_near) == (len(w), len(hit), len(seen), sha(",".join(sorted(seen))), bool(hit), len(near))
+    assert hits > 50 and close > 0
 
 
 def test_decontamination_in_blocks(docs, bench, monkeypatch):
-    whole = sorted(map(tuple, decontamination.report(decontamination.find(docs, bench)).collect()), key=str)
+    whole = sorted(map(tuple, decontamination.report(decontamination.find(docs, bench, span=20)).collect()), key=str)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
-    monkeypatch.setattr(decontamination, "MOST_TERMS", 3)
-    assert sorted(map(tuple, decontamination.report(decontamination.find(docs, bench)).collect()), key=str) == whole
+    monkeypatch.setattr(decontamination, "MOST_ENTRIES", 5)
+    assert sorted(map(tuple, decontamination.report(decontamination.find(docs, bench, span=20)).collect()), key=str) == whole
 
 
 def test_proximity(spark):
@@ -403,49 +447,36 @@ def test_dictionary(spark):
 # --- LM scoring --------------------------------------------------------------------
 
 
-def test_lm_scoring(spark, docs, texts):
-    good = {i for i in texts if i % 3 == 0}
-    labels = spark.createDataFrame([(i, int(i in good)) for i in texts] + [(None, 1)], "doc_id bigint, quality int")
-    size = 50
-    tokens = {i: words((t or "").translate(LOW)) for i, t in texts.items()}
-    count = Counter(w for t in tokens.values() for w in t)
-    vocab = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
-    number = {w: k + 1 for k, w in enumerate(vocab)}
-    pairs = {i: [(number.get(a, 0) if k else size + 1, number.get(b, 0)) for k, (a, b) in enumerate(zip([None, *t], t))] for i, t in tokens.items()}
-
-    def losses(ids, total):
-        c = np.zeros((size + 2, size + 2))
-        for i in ids:
-            for a, b in pairs[i]:
-                c[a, b] += 1
-        c *= total / c.sum()
-        single = (c.sum(0) + lm_scoring.ADDED) / (c.sum() + lm_scoring.ADDED * (size + 2))
-        return lambda a, b: -np.log(lm_scoring.BIGRAM * c[a, b] / c[a].sum() + (1 - lm_scoring.BIGRAM) * single[b] if c[a].sum() else single[b])
-
-    n = sum(len(pairs[i]) for i in good)
-    target, background = losses(good, n), losses(texts, n)
-    for r in lm_scoring.cross_entropy_difference(docs, labels, size).collect():
-        p = pairs[r.doc_id]
-        assert r.n_tokens == len(p)
-        if p:
-            assert abs(r.score - np.mean([target(a, b) - background(a, b) for a, b in p])) < 1e-4
-        else:
-            assert r.score is None
-
-
-def test_lm_scoring_whole(spark, docs, texts):
-    """Rare words count apart: 1,500 words are more than the fixed vocabulary."""
-    many = {1000 + i: " ".join(f"w{(7 * i + j) % 1500}" for j in range(40)) for i in range(300)}
-    more = docs.select("doc_id", "text").union(spark.createDataFrame([*many.items(), (None, "w1 w2"), (1000, "w5 w4 w5")], "doc_id bigint, text string"))
-    n_words = len({w for t in [*texts.values(), *many.values()] for w in words((t or "").translate(LOW))})
-    assert n_words > lm_scoring.VOCABULARY
-    for good in ({i for i in [*texts, *many] if i and i % 3 == 0}, set()):
-        labels = spark.createDataFrame([(i, 1) for i in good] + [(None, 1)], "doc_id bigint, quality int")
-        want = lm_scoring.cross_entropy_difference(more, labels, n_words)
-        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
-        for a, b in zip(sorted(lm_scoring.whole(more, labels).collect(), key=key), sorted(want.collect(), key=key), strict=True):
-            assert a[:3] == b[:3] and (a[3:] == b[3:] == (None, None, None) if not a.n_tokens else np.allclose(a[3:], b[3:], atol=2e-4))
-    assert lm_scoring.whole(more.limit(0), labels).count() == 0
+@pytest.mark.parametrize("good", [{3, 6, 9, 60, 61, 1003}, set()])
+def test_lm_scoring(spark, docs, texts, good):
+    """Against dense models over every word; without a target both models are uniform in it."""
+    many = {1000 + i: " ".join(f"w{(7 * i + j) % 700}" for j in range(40)) for i in range(100)}
+    all_ = {**texts, **many}
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([*many.items(), (None, "w1 w2")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(i, 1) for i in good] * 2 + [(i, 0) for i in all_] + [(None, 1), (77_777, 1)], "doc_id bigint, quality int")
+    tokens = [(i, words((t or "").translate(LOW))) for i, t in [*all_.items(), (None, "w1 w2")]]
+    size = len({w for _, t in tokens for w in t}) + 2
+    pair, context, single = ([Counter(), Counter()] for _ in range(3))
+    for i, t in tokens:
+        for row in [0, 1] if i in good else [0]:
+            pair[row].update(zip([None, *t], t))
+            context[row].update([None, *t][: len(t)])
+            single[row].update(t)
+    total = [sum(c.values()) for c in single]
+    to = total[1] or total[0]
+
+    def loss(row, a, b):
+        one = (single[row][b] * (to / total[row] if total[row] else 0) + lm_scoring.ADDED) / ((to if total[row] else 0) + lm_scoring.ADDED * size)
+        return -np.log(lm_scoring.BIGRAM * pair[row][a, b] / context[row][a] + (1 - lm_scoring.BIGRAM) * one if context[row][a] else one)
+
+    got = lm_scoring.cross_entropy_difference(more, labels).collect()
+    assert len(got) == len(tokens)
+    by_id = {r.doc_id: r for r in got}
+    for i, t in tokens:
+        r = by_id[i]
+        assert r.n_tokens == len(t)
+        want = [np.mean([loss(row, a, b) for a, b in zip([None, *t], t)]) for row in (0, 1)] if t else None
+        assert (r.score is None) if not t else np.allclose([r.background_loss, r.target_loss, r.score], [*want, want[1] - want[0]], atol=2e-4)
 
 
 # --- awkward tables ----------------------------------------------------------------
@@ -458,7 +489,7 @@ def test_empty_tables(spark, docs, bench, pii_model):
     forest = secret_scan.fit(spark.createDataFrame(secret_scan.made_findings([], 200), secret_scan.FINDINGS), ["this"])
     for out in (
         exact_dedup.dedup(none, none), exact_dedup.keep_one(none), sentencepiece_bpe.encode(none), jaccard_join.join(none), decontamination.find(none, bench), substring_dedup.remove_repeats(none), quality_classifier.classify(none, labels),
-        lm_scoring.cross_entropy_difference(none, labels), pii.detect(none, *pii_model), secret_scan.scan(none, forest, ["this"]), warc_bundles.read_bundles(warc_bundles.write_bundles(warc_bundles.plan_records(pages))),
+        lm_scoring.cross_entropy_difference(none, labels), quality_classifier.keep_good(none, labels), jaccard_join.keep_one(none, 5, 80, 100), pii.detect(none, *pii_model), secret_scan.scan(none, forest, ["this"]), warc_bundles.read_bundles(warc_bundles.write_bundles(warc_bundles.plan_records(pages))),
     ):
         assert out.count() == 0
     assert decontamination.find(docs, bench.limit(0)).where("size(items) > 0").count() == 0
@@ -470,4 +501,39 @@ def test_null_ids(spark):
     assert got == Counter({(None, 4, 1): 2, (None, 0, None): 1, (1, 4, 1): 1, (1, 3, 1): 1, (2, 1, 2): 1})
     assert substring_dedup.remove_repeats(rows).count() == sentencepiece_bpe.encode(rows).count() == 6
     one = jaccard_join.keep_one(rows, 3, 90, 100)
-    assert one.count() == 6
+    assert Counter((r.doc_id, r.text) for r in one.collect()) == Counter({(None, None): 1, (1, "a b c d e f"): 1, (1, "other text here for once"): 1, (2, "g"): 1})
+
+
+def test_null_ids_link(spark):
+    """Rows without an id link like others; a group of them alone keeps one row."""
+    body = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*body[:k], "x", *body[k + 1 :]])
+    rows = spark.createDataFrame([(None, near(0)), (5, near(59)), (None, "z " * 3 + near(30)), (None, "apart a b c"), (None, "apart a b c")], "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.join(rows, 3, 80, 100).collect())
+    assert got == Counter({(None, 5): 2, (5, 5): 1, (None, None): 2})
+    assert Counter(r.doc_id for r in jaccard_join.keep_one(rows, 3, 80, 100).collect()) == Counter({5: 1, None: 1})
+
+
+def test_template_of_many_classes(spark, monkeypatch):
+    """A passage that many sets share, which don't link, in cells of a few classes each."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    shared = [[f"p{j}q{i}" for i in range(12)] for j in range(40)]
+    texts = {i: " ".join(w for j in sorted(random.Random(i).sample(range(40), 6)) for w in shared[j]) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    _, component = linked(texts, 3, 90, 100)
+    assert {r.doc_id: r.component_id for r in jaccard_join.connected(docs).collect()} == component
+
+
+#: Names that the operators use inside.
+CLASHES = ("_own", "_n", "_id", "_sha", "_kept", "_gone", "id", "sha", "stays", "row", "own", "digest", "component", "n", "best", "source", "fragment", "body", "score", "stats", "group_size", "kept", "keep_id", "items", "c0", "c1", "rep", "h")
+
+
+def test_clashing_names(spark, bench):
+    """All stage forms keep a table's further columns as they are, whatever their names."""
+    base = [(i, t) for i, t, *_ in corpus()]
+    docs = spark.createDataFrame(base, "doc_id bigint, text string").select("doc_id", "text", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHES])
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i, _ in base], "doc_id bigint, quality int")
+    for out in (exact_dedup.keep_one(docs), jaccard_join.keep_one(docs, 5, 80, 100), decontamination.keep_clean(docs, bench), quality_classifier.keep_good(docs, labels)):
+        rows = out.collect()
+        assert out.columns == docs.columns and 10 < len(rows) <= len(base)
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES) and all(r.text == dict(base)[r.doc_id] for r in rows)

@@ -6,6 +6,8 @@ the empty text and keeps one output row per input row unless it says otherwise.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,12 +28,14 @@ CHUNK_BYTES = 4 << 20
 # --- storage ---------------------------------------------------------------
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one where that is unset and one machine runs all (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="veritext-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -89,10 +93,24 @@ def join_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, count_col: str
     return mild.unionByName(large)
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not among ids(doc_id); rows without an id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).where("_gone IS NOT NULL").distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
+def text_digest(text: str = "text") -> Column:
+    """SHA-256 of the text as it stands, in hex; a null text is empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def settle(docs: DataFrame, acts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, that acts(id, sha, stays) leaves.
+
+    acts has a row for each doc_id and text digest that it decides on: of the
+    rows with both, none stays, or one does. All other rows stay. Null ids are
+    compared as equal. docs may have columns of any names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("own"), text_digest().alias("digest"))
+    joined = packed.join(acts, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left")
+    alone = joined.where("stays IS NULL").select("row")
+    first = joined.where("stays").groupBy("own", "digest").agg(F.first("row").alias("row")).select("row")
+    return alone.unionByName(first).select("row.*")
 
 
 # --- connected components ----------------------------------------------------
@@ -121,23 +139,88 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
 
 # --- text kernels ------------------------------------------------------------
 
-#: Byte tables for bytes.translate: A-Z to a-z; and the same with all other ASCII but digits and letters as blanks.
-LOWER_TABLE = bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
+#: Byte tables for bytes.translate: white space to blanks; also A-Z to a-z; and also all other ASCII but digits and letters to blanks.
+PLAIN_TABLE = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+LOWER_TABLE = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b for b in PLAIN_TABLE)
 ALNUM_TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in LOWER_TABLE)
 
+#: Bytes of a block in which words are hashed at once, and the base of their polynomials.
+HASH_BLOCK = 1 << 15
+HASH_BASE = 0x9E3779B97F4A7C15
+
 
-class Hashes(dict):
-    """Word -> 64-bit hash, kept for the words met so far, up to a bound."""
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n modulo 2 ** 64."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]).astype(np.uint64), dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+@functools.cache
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(HASH_BASE, HASH_BLOCK), powers(pow(HASH_BASE, -1, 2**64), HASH_BLOCK)
 
-def hash_words(hashes: Hashes, words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at blanks into pieces of at most HASH_BLOCK - 4 bytes, or of one word."""
+    at = 0
+    while len(text) - at > HASH_BLOCK - 4:
+        to = text.rfind(b" ", at, at + HASH_BLOCK - 3)
+        if to < at:
+            to = text.find(b" ", at)
+            to = len(text) if to < 0 else to
+        yield text[at:to]
+        at = to + 1
+    if at < len(text):
+        yield text[at:]
+
+
+def _hash_block(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of pieces, in order, and each piece's number of words. All pieces together, with a blank each, fit into a block."""
+    up, down = _block_powers()
+    data = np.frombuffer(b" ".join([b"", *pieces, b""]), np.uint8)
+    edges = np.flatnonzero(np.diff(data == 0x20)) + 1
+    begin, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    upto = np.searchsorted(begin, np.cumsum([len(p) + 1 for p in pieces]), "right")
+    return hashes, np.diff(upto, prepend=0)
+
+
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after another, and the number of words of each text.
+
+    Words are what blanks separate after translation by `table`. Memory beside
+    the result is bounded whatever the length of a text.
+    """
+    counts = np.zeros(len(texts), np.int64)
+    found: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    held: list[bytes] = []
+    owners: list[int] = []
+    room = HASH_BLOCK - 1
+
+    def flush() -> None:
+        nonlocal room
+        if held:
+            hashes, n = _hash_block(held)
+            found.append(hashes)
+            np.add.at(counts, owners, n)
+            held.clear()
+            owners.clear()
+            room = HASH_BLOCK - 1
+
+    for k, t in enumerate(texts):
+        for piece in _pieces(t.translate(table)):
+            if len(piece) + 2 > room:
+                flush()
+            if len(piece) + 2 > HASH_BLOCK:
+                found.append(np.array([xxhash.xxh3_64_intdigest(piece)], np.uint64))
+                counts[k] += 1
+                continue
+            held.append(piece)
+            owners.append(k)
+            room -= len(piece) + 1
+    flush()
+    return np.concatenate(found), counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,16 +230,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word shingles; of the whole sequence where there are fewer words; none without words."""
-    n = len(words)
-    if not n:
-        return words
-    size = min(k, n)
-    out = np.full(n - size + 1, size, np.uint64)
-    for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : n - size + 1 + i])
-    return out
+def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's k-word shingles, and their number by text; with fewer words, the whole sequence is the one shingle."""
+    ends = np.cumsum(counts)
+    room = np.repeat(ends, counts) - np.arange(len(words))
+    size = np.repeat(np.minimum(counts, k), counts)
+    at = np.flatnonzero(room >= size)
+    size = size[at]
+    out = size.astype(np.uint64)
+    for i in range(k):
+        longer = size > i
+        out = np.where(longer, mix(out * np.uint64(0x9E3779B97F4A7C15) + words[np.where(longer, at + i, at)]), out)
+    return out, np.where(counts > 0, np.maximum(counts - k, 0) + 1, 0)
+
+
+def tidy() -> None:
+    """Gives the memory that a kernel has freed back to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def kernel(run: Callable) -> Callable:
+    """A kernel over batches that tidies up after its last one."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -164,7 +270,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> I
     for batch in batches:
         texts = batch.column("text")
         if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type):
-            sizes = np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), np.int64)
+            sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
         else:
             raise TypeError(f"text has type {texts.type}")
         at, ends = 0, np.cumsum(sizes)

@@ -1,24 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is dealt by document: each shard (some megabytes of text) holds, for
-every term of the test items, the sorted positions where the training texts have
-it. A search takes the windows of the items, orders each window's terms by their
-number of postings in the whole corpus, and intersects the offset-adjusted
-posting lists from the rarest term on. No posting is shuffled; the term counts
-and the windows, which come in blocks of bounded size, are broadcast.
-
-For phrases only, postings are left out that stand in a run of test terms
-shorter than the shortest window, as no window can lie there.
+every word of its texts, the sorted positions where they have it. It is built once
+and stored; no posting is shuffled. The test items come in blocks of BLOCK_BYTES,
+one after another: a block's windows are a broadcast of some ten times its bytes,
+and so is what the driver holds, whatever the benchmark's size. A search orders
+each window's terms by their number of postings in the whole corpus, and
+intersects the offset-adjusted posting lists from the rarest term on, which gives
+the exact phrase matches. Proximity matches, stretches of at most NEAR windows'
+words in a document with all words of a window in any order, go by the same lists
+from the rarest term on, with ranges in place of offsets.
 
 Defined cases: a null or empty text has no words, and no items occur in it; an
 item without words has no windows; an item with fewer words than a window is one
-window; items that share an id count once; a null item_id is the empty string.
-Words are compared by 64-bit hashes.
+window; items that share an id count once; a null item_id is the empty string; an
+empty benchmark hits nothing. Words are compared by 64-bit hashes, so results are
+exact but for collisions.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,282 +28,287 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.llm import common
+from veritext.llm.exchange import squeeze, stretch
 
-WINDOW = 10
-#: Text bytes of the items in a block of queries.
-BLOCK_BYTES = 8 << 20
-#: Terms that a list of test terms may have; with more, postings of all words are stored.
-MOST_TERMS = 4_000_000
-
-INDEX_SCHEMA = "shard bigint, doc_ids array<bigint>, n_words array<bigint>, terms binary, starts binary, positions binary"
-
+#: Words of a window; windows that a proximity match may stretch over.
+WINDOW, NEAR = 10, 2
+#: Text bytes of the items in a block; posting entries that a search follows at once.
+BLOCK_BYTES, MOST_ENTRIES = 4 << 20, 2_000_000
 
-def words(text: bytes) -> list[bytes]:
-    """Maximal runs of characters other than ASCII that isn't a digit or letter, after lower-casing A-Z."""
-    return text.translate(common.ALNUM_TABLE).split()
+INDEX_SCHEMA = "shard bigint, doc_ids array<bigint>, shas array<string>, n_words array<bigint>, terms binary, sizes binary, positions binary"
+HITS = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+HITS_SQL = "shard bigint, slot int, spans array<bigint>, items array<string>, near array<string>"
 
 
 # --- index -------------------------------------------------------------------
 
-def build_index(docs: DataFrame, terms: np.ndarray | None, shortest: int) -> DataFrame:
-    """One row a shard: the documents' ids and word counts, and the postings of terms (sorted hashes; None: of all words).
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row a shard: the documents' ids, text digests and word counts, and the postings of all words.
 
-    Positions count the shard's words, with one more between documents. Only
-    runs of at least `shortest` consecutive terms are kept.
+    Positions count the shard's words, with one more between documents.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(terms)
 
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, hashes, key = sent.value, common.Hashes(), common.task_key()
+        key = common.task_key()
         for part, texts in common.text_chunks(batches):
-            lists = [words(t) for t in texts]
-            counts = np.array([len(x) for x in lists], np.int64)
-            term_of, at = postings([common.hash_words(hashes, x) for x in lists], counts, wanted, shortest)
-            unique, first = np.unique(term_of, return_index=True)
+            flat, counts = common.word_hashes(texts, common.ALNUM_TABLE)
+            at = np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)
+            order = np.argsort(flat, kind="stable")
+            terms, first = np.unique(flat[order], return_index=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key()], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([unique.tobytes()], pa.binary()), pa.array([np.append(first, len(at)).astype(np.uint32).tobytes()], pa.binary()), pa.array([at.astype(np.uint32).tobytes()], pa.binary())],
-                ["shard", "doc_ids", "n_words", "terms", "starts", "positions"])
-
-    return common.documents(docs).mapInArrow(run, INDEX_SCHEMA)
-
-
-def postings(lists: list[np.ndarray], counts: np.ndarray, wanted: np.ndarray | None, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(term, position) sorted by both, of the words that are wanted and stand in a long enough run of such words."""
-    flat = np.concatenate([np.append(x, np.uint64(0)) for x in lists]) if lists else np.zeros(0, np.uint64)
-    ends = np.cumsum(counts + 1) - 1
-    keep = np.ones(len(flat), bool)
-    if wanted is not None:
-        spot = np.minimum(np.searchsorted(wanted, flat), max(len(wanted) - 1, 0))
-        keep = wanted[spot] == flat if len(wanted) else np.zeros(len(flat), bool)
-    keep[ends] = False
-    if shortest > 1:
-        edge = np.diff(np.concatenate([[0], keep.view(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        long = end - begin >= shortest
-        mark = np.zeros(len(flat) + 1, np.int64)
-        mark[begin[long]] += 1
-        mark[end[long]] -= 1
-        keep = np.cumsum(mark[:-1]) > 0
-    at = np.flatnonzero(keep)
-    order = np.argsort(flat[at], kind="stable")
-    return flat[at][order], at[order]
-
-
-def term_counts(index: DataFrame) -> DataFrame:
-    """(term, n): postings of each term in the whole corpus."""
+                [pa.array([key()], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([part.column("sha").to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())),
+                 pa.array([squeeze(np.diff(terms, prepend=np.uint64(0)))], pa.binary()), pa.array([squeeze(np.diff(first, append=len(flat)).astype("<u4"))], pa.binary()), pa.array([squeeze(at[order].astype("<u4"))], pa.binary())],
+                ["shard", "doc_ids", "shas", "n_words", "terms", "sizes", "positions"])
+
+    rows = common.documents(docs).withColumn("sha", common.text_digest())
+    return common.stored(rows.mapInArrow(run, INDEX_SCHEMA), "positional-index", compression="none")
+
+
+class Postings:
+    """A shard's lists, and where its documents begin and end."""
+
+    def __init__(self, row: dict):
+        self.shard = row["shard"]
+        self.terms = np.cumsum(stretch(row["terms"], "<u8"), dtype=np.uint64)
+        self.sizes = stretch(row["sizes"], "<u4").astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.positions = stretch(row["positions"], "<u4").astype(np.int64)
+        self.counts = np.asarray(row["n_words"], np.int64)
+        self.begins = np.cumsum(self.counts + 1) - (self.counts + 1)
+        #: Ascending: term and position in one number.
+        self.keys = (np.repeat(np.arange(len(self.terms), dtype=np.int64), self.sizes) << 32) | self.positions
+
+    def local(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term here; -1 for others."""
+        spot = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        return np.where(self.terms[spot] == terms, spot, -1) if len(self.terms) else np.full(len(terms), -1)
+
+    def document(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, position, "right") - 1
+
+    def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        key = (term << 32) | position
+        return self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+
+    def has_in(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each term stands in [low, high)."""
+        return np.searchsorted(self.keys, (term << 32) | low) < np.searchsorted(self.keys, (term << 32) | high)
 
+
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Postings of each of terms (sorted hashes of a block) in the whole corpus."""
+    sent = index.sparkSession.sparkContext.broadcast(terms)
+
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        total = np.zeros(len(asked), np.int64)
         for batch in batches:
-            for t, s in zip(batch.column("terms").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.diff(np.frombuffer(s, np.uint32).astype(np.int64)))], ["term", "n"])
+            for t, s in zip(batch.column("terms").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+                known = np.cumsum(stretch(t, "<u8"), dtype=np.uint64)
+                if len(known):
+                    spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                    total += np.where(known[spot] == asked, stretch(s, "<u4")[spot], 0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["i", "n"])
 
-    return index.select("terms", "starts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = index.select("terms", "sizes").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    out = np.zeros(len(terms), np.int64)
+    out[found.column("i").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 # --- queries -----------------------------------------------------------------
 
 class Windows:
-    """The windows of a block of items, by length, each with its terms' offsets from the rarest to the most frequent."""
+    """The windows of a block of items, by length: each one's item, its terms' numbers, and its offsets from the rarest term to the most frequent."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        hashes = common.Hashes()
         self.items = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.items)}
+        flat, counts = common.word_hashes([t for _, t in items], common.ALNUM_TABLE)
+        self.terms, flat = np.unique(flat, return_inverse=True)
         by_length: dict[int, list] = {}
-        for item, text in items:
-            h = common.hash_words(hashes, words(text))
-            if len(h):
-                size = min(window, len(h))
-                by_length.setdefault(size, []).append((number[item], np.lib.stride_tricks.sliding_window_view(h, size)))
-        self.groups = [(size, np.concatenate([np.full(len(w), i) for i, w in found]), np.concatenate([w for _, w in found])) for size, found in sorted(by_length.items())]
-        self.shortest = min(by_length, default=window)
-
-    def terms(self) -> np.ndarray:
-        return np.unique(np.concatenate([w.ravel() for _, _, w in self.groups])) if self.groups else np.zeros(0, np.uint64)
-
-    def order(self, term: np.ndarray, n: np.ndarray) -> None:
-        """Orders the offsets by the corpus counts n of terms (sorted hashes). Windows with a term that the corpus lacks go."""
+        for (item, _), words in zip(items, np.split(flat.astype(np.int32), np.cumsum(counts)[:-1]), strict=True):
+            if len(words):
+                size = min(window, len(words))
+                by_length.setdefault(size, []).append((number[item], np.lib.stride_tricks.sliding_window_view(words, size)))
+        self.groups = [(size, np.concatenate([np.full(len(w), i, np.int32) for i, w in found]), np.concatenate([w for _, w in found]), None) for size, found in sorted(by_length.items())]
+
+    def order(self, n: np.ndarray) -> None:
+        """Orders the offsets by the corpus counts n of the terms. Windows with a term that the corpus lacks go."""
         ordered = []
-        for size, item, w in self.groups:
-            spot = np.minimum(np.searchsorted(term, w), max(len(term) - 1, 0))
-            count = np.where(term[spot] == w, n[spot], 0) if len(term) else np.zeros(w.shape, np.int64)
-            live = count.min(axis=1) > 0
-            ordered.append((size, item[live], w[live], np.argsort(count[live], axis=1, kind="stable")))
+        for size, item, w, _ in self.groups:
+            live = n[w].min(axis=1) > 0
+            ordered.append((size, item[live], w[live], np.argsort(n[w[live]], axis=1, kind="stable").astype(np.int16)))
         self.groups = ordered
 
 
-def occurrences(windows: Windows, terms: np.ndarray, starts: np.ndarray, positions: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, item numbers, positions) where windows occur in a shard: offset-adjusted lists, intersected from the rarest term on."""
-    if not len(terms):
-        return
-    sizes = np.diff(starts)
-    keys = (np.repeat(np.arange(len(terms), dtype=np.int64), sizes) << 32) | positions
-    for size, item, w, order in windows.groups:
-        local = np.searchsorted(terms, w)
-        np.minimum(local, len(terms) - 1, out=local)
-        live = np.flatnonzero((terms[local] == w).all(axis=1))
-        if not len(live):
-            continue
-        item, local, order = item[live], local[live], order[live]
-        rows = np.arange(len(live))
-        rare = local[rows, order[:, 0]]
-        n = sizes[rare]
-        window = np.repeat(rows, n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin = positions[np.repeat(starts[rare], n) + within] - np.repeat(order[:, 0], n)
+def rare_entries(asked: Windows, lists: Postings) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, item, terms in order of rarity, their offsets, position) for each posting of each window's rarest term, at most MOST_ENTRIES and one window's at once."""
+    local = lists.local(asked.terms)
+    for size, item, w, order in asked.groups:
+        live = np.flatnonzero((local[w] >= 0).all(axis=1))
+        terms = np.take_along_axis(local[w[live]], order[live].astype(np.int64), axis=1)
+        n = lists.sizes[terms[:, 0]]
+        part = np.cumsum(n) // MOST_ENTRIES
+        for rows in np.split(np.arange(len(live)), np.flatnonzero(np.diff(part)) + 1):
+            if len(rows):
+                m = n[rows]
+                within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                row = np.repeat(rows, m)
+                yield size, item[live][row], terms[row], order[live][row], lists.positions[np.repeat(lists.starts[terms[rows, 0]], m) + within]
+
+
+def phrases(asked: Windows, lists: Postings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, items, positions) where windows occur: offset-adjusted lists, intersected from the rarest term on."""
+    for size, item, terms, order, position in rare_entries(asked, lists):
+        begin = position - order[:, 0]
+        live = np.flatnonzero(begin >= 0)
         for k in range(1, size):
-            good = begin >= 0
-            window, begin = window[good], begin[good]
-            offset = order[window, k]
-            key = (local[window, offset].astype(np.int64) << 32) | (begin + offset)
-            spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            good = keys[spot] == key
-            window, begin = window[good], begin[good]
-        good = begin >= 0
-        yield size, item[window[good]], begin[good]
+            live = live[lists.has(terms[live, k], begin[live] + order[live, k])]
+        yield size, item[live], begin[live]
 
 
-def search(index: DataFrame, windows: Windows) -> DataFrame:
-    """(shard, slot, doc_id, n_words, spans array<bigint>, items array<string>) of every document: its hit words as begin and end pairs."""
-    sent = index.sparkSession.sparkContext.broadcast(windows)
-
+def near(asked: Windows, lists: Postings, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, items) where at most `span` consecutive words of a document hold all words of a window, in any order."""
+    for size, item, terms, _, position in rare_entries(asked, lists):
+        doc = lists.document(position)
+        low, high = lists.begins[doc], lists.begins[doc] + lists.counts[doc]
+        live = np.arange(len(position))
+        for k in range(1, size):
+            live = live[lists.has_in(terms[live, k], np.maximum(low[live], position[live] - span + 1), np.minimum(high[live], position[live] + span))]
+        for shift in range(span):
+            begin = position[live] - shift
+            good = begin >= low[live]
+            for k in range(1, size):
+                good[good] = lists.has_in(terms[live[good], k], begin[good], np.minimum(high[live[good]], begin[good] + span))
+            # A stretch that the document's begin cuts off is part of the one from there.
+            yield doc[live[good]], item[live[good]]
+            live = live[~good]
+
+
+def search(index: DataFrame, asked: Windows, span: int | None) -> DataFrame:
+    """HITS_SQL of the documents that a block hits: hit words as begin and end pairs, items with occurring windows, and, where span is given, items with proximity matches. Stored."""
+    sent = index.sparkSession.sparkContext.broadcast(asked)
+
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                yield shard_hits(asked, row)
+            for k in range(batch.num_rows):
+                yield shard_hits(sent.value, Postings(batch.slice(k, 1).to_pylist()[0]), span)
 
-    return index.mapInArrow(run, "shard bigint, slot int, doc_id bigint, n_words bigint, spans array<bigint>, items array<string>")
+    out = common.stored(index.select("shard", "n_words", "terms", "sizes", "positions").mapInArrow(run, HITS_SQL), "positional-hits")
+    sent.destroy()
+    return out
 
 
-def shard_hits(asked: Windows, row: dict) -> pa.RecordBatch:
-    counts = np.asarray(row["n_words"], np.int64)
-    bases = np.cumsum(counts + 1) - (counts + 1)
-    total = int((counts + 1).sum())
-    cover, found = np.zeros(total + 1, np.int64), []
-    arrays = (np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.uint32).astype(np.int64), np.frombuffer(row["positions"], np.uint32).astype(np.int64))
-    for size, item, begin in occurrences(asked, *arrays):
+def shard_hits(asked: Windows, lists: Postings, span: int | None) -> pa.RecordBatch:
+    cover, found, close = np.zeros(int((lists.counts + 1).sum()) + 1, np.int64), [], []
+    for size, item, begin in phrases(asked, lists):
         np.add.at(cover, begin, 1)
         np.add.at(cover, begin + size, -1)
-        doc = np.searchsorted(bases, begin, "right") - 1
-        found.append(np.unique(np.stack([doc, item], 1), axis=0))
+        found.append(np.unique(np.stack([lists.document(begin), item], 1), axis=0))
+    if span is not None:
+        close = [np.unique(np.stack(x, 1), axis=0) for x in near(asked, lists, span)]
     edge = np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).view(np.int8), [0]]))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    owner = np.searchsorted(bases, begin, "right") - 1
-    spans: list[list[int]] = [[] for _ in counts]
-    for d, b, e in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
-        spans[d] += [b - int(bases[d]), e - int(bases[d])]
-    items: list[list[str]] = [[] for _ in counts]
-    for d, i in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
-        items[d].append(asked.items[i])
-    return pa.RecordBatch.from_arrays(
-        [pa.array([row["shard"]] * len(counts), pa.int64()), pa.array(range(len(counts)), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(counts, pa.int64()),
-         pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["shard", "slot", "doc_id", "n_words", "spans", "items"])
-
-
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: dict[int, tuple[list, list, list]] = {}
+    for d, b, e in zip(lists.document(begin).tolist(), begin.tolist(), end.tolist(), strict=True):
+        rows.setdefault(d, ([], [], []))[0].extend([b - int(lists.begins[d]), e - int(lists.begins[d])])
+    for at, pairs in ((1, found), (2, close)):
+        for d, i in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
+            rows.setdefault(d, ([], [], []))[at].append(asked.items[i])
+    columns = [[lists.shard] * len(rows), list(rows), *[[r[k] for r in rows.values()] for k in range(3)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, HITS, strict=True)], schema=HITS)
+
+
+@common.kernel
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the spans that several blocks found in a document."""
     for batch in batches:
         rows = batch.to_pylist()
         for r in rows:
-            pairs = sorted(zip(r["spans"][::2], r["spans"][1::2], strict=True))
             spans: list[int] = []
-            for b, e in pairs:
+            for b, e in sorted(zip(r["spans"][::2], r["spans"][1::2], strict=True)):
                 if spans and b <= spans[-1]:
                     spans[-1] = max(spans[-1], e)
                 else:
                     spans += [b, e]
-            r["spans"], r["items"] = spans, sorted(set(r["items"]))
+            r["spans"] = spans
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about BLOCK_BYTES, so that what is broadcast is bounded whatever the benchmark's size."""
+    """The items in blocks of about BLOCK_BYTES, of which the driver holds one at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()]
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document, with the words that lie in an occurrence of an item's window."""
-    parts = [Windows(items, window) for items in blocks(benchmark)]
-    terms = np.unique(np.concatenate([p.terms() for p in parts]))
-    index = common.stored(build_index(docs, terms if len(terms) <= MOST_TERMS else None, min(p.shortest for p in parts)), "positional-index")
-    tested = docs.sparkSession.createDataFrame(pa.table({"term": terms.view(np.int64)})) if len(terms) else None
-    counts = term_counts(index)
-    counts = (counts.join(tested, "term", "left_semi") if len(terms) > MOST_TERMS else counts).toArrow()
-    term, n = counts.column("term").to_numpy().view(np.uint64), counts.column("n").to_numpy()
-    order = np.argsort(term)
-    found = []
-    for p in parts:
-        p.order(term[order], n[order])
-        found.append(search(index, p))
-    out = found[0]
-    if len(found) > 1:
-        hit = found[0]
-        for f in found[1:]:
-            hit = hit.unionByName(f)
-        merged = hit.where(F.size("items") > 0).groupBy("shard", "slot").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        merged = merged.mapInArrow(_union, "shard bigint, slot int, spans array<bigint>, items array<string>")
-        none = F.array()
-        out = found[0].drop("spans", "items").join(merged, ["shard", "slot"], "left").withColumns({"spans": F.coalesce("spans", none.cast("array<bigint>")), "items": F.coalesce("items", none.cast("array<string>"))})
-    return out.drop("shard", "slot")
+        if items := rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect():
+            yield [(r["item_id"], r["text"].encode()) for r in items]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None) -> DataFrame:
+    """(doc_id, sha, n_words, spans, items, near) of every document: the words that lie in an occurrence of an item's window, the items that occur, and those with proximity matches within `span` words (none if it's null)."""
+    spark = docs.sparkSession
+    index = build_index(docs)
+    hits = spark.createDataFrame([], HITS_SQL)
+    for items in blocks(benchmark):
+        asked = Windows(items, window)
+        asked.order(term_counts(index, asked.terms))
+        hits = hits.unionByName(search(index, asked, span))
+    together = hits.groupBy("shard", "slot").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
+    together = together.withColumns({c: F.array_sort(F.array_distinct(c)) for c in ("items", "near")}).mapInArrow(_united, HITS_SQL)
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "shas", "n_words")).alias("slot", "d")).select("shard", "slot", F.col("d.doc_ids").alias("doc_id"), F.col("d.shas").alias("sha"), F.col("d.n_words").alias("n_words"))
+    none = {"spans": "array<bigint>", "items": "array<string>", "near": "array<string>"}
+    return rows.join(together, ["shard", "slot"], "left").select("doc_id", "sha", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a hit word; a row without an id stays."""
-    return common.without(docs, find(docs, benchmark, window).where(F.size("items") > 0))
+    """The rows of docs, with all their columns, without a hit word."""
+    hit = find(docs, benchmark, window).where(F.size("items") > 0)
+    return common.settle(docs, hit.select(F.col("doc_id").alias("id"), "sha", F.lit(False).alias("stays")).distinct())
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near").cast("bigint").alias("n_near"))
 
 
-# --- proximity ---------------------------------------------------------------
+# --- proximity of given phrases ------------------------------------------------
 
-def proximity(docs: DataFrame, phrases: list[str], span: int) -> DataFrame:
+def proximity(docs: DataFrame, asked: list[str], span: int) -> DataFrame:
     """(doc_id, phrase, begin, end): the shortest stretches of at most `span` words that hold all words of a phrase, in any order.
 
-    Of stretches that lie within each other the inner one is returned. phrases is
+    Of stretches that lie within each other the inner one is returned. asked is
     a stated list of bounded size.
     """
-    hashes = common.Hashes()
-    asked = [(p, np.unique(common.hash_words(hashes, words(p.encode())))) for p in phrases]
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for _, t in asked]]))
-    index = build_index(docs, terms, 1)
-    sent = docs.sparkSession.sparkContext.broadcast(asked)
+    named = [(p, np.unique(common.word_hashes([p.encode()], common.ALNUM_TABLE)[0])) for p in asked]
+    index = build_index(docs)
+    sent = docs.sparkSession.sparkContext.broadcast([(p, t) for p, t in named if len(t)])
 
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                counts = np.asarray(row["n_words"], np.int64)
-                bases = np.cumsum(counts + 1) - (counts + 1)
-                known, starts, at = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.uint32), np.frombuffer(row["positions"], np.uint32).astype(np.int64)
-                rows = []
-                for phrase, own in asked_now(sent.value, known):
-                    lists = [at[starts[k] : starts[k + 1]] for k in np.searchsorted(known, own)]
-                    for b, e in stretches(lists, span):
-                        d = int(np.searchsorted(bases, b, "right")) - 1
-                        if e <= bases[d] + counts[d]:
-                            rows.append((row["doc_ids"][d], phrase, b - int(bases[d]), e - int(bases[d])))
+                lists, rows = Postings(row), []
+                for phrase, terms in sent.value:
+                    local = lists.local(terms)
+                    if (local >= 0).all():
+                        for b, e in stretches([lists.positions[lists.starts[t] : lists.starts[t] + lists.sizes[t]] for t in local], span):
+                            d = int(lists.document(np.array([b]))[0])
+                            if e <= lists.begins[d] + lists.counts[d]:
+                                rows.append((row["doc_ids"][d], phrase, b - int(lists.begins[d]), e - int(lists.begins[d])))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "phrase", "begin", "end"])
 
     return index.mapInArrow(run, "doc_id bigint, phrase string, begin bigint, end bigint")
 
 
-def asked_now(asked: list, known: np.ndarray) -> Iterator:
-    return ((p, own) for p, own in asked if len(own) and np.isin(own, known).all())
-
-
 def stretches(lists: list[np.ndarray], span: int) -> list[tuple[int, int]]:
     """Minimal stretches [begin, end) of at most span positions that hold a member of every list, started from the shortest list."""
     rare = min(range(len(lists)), key=lambda k: len(lists[k]))
@@ -322,7 +328,7 @@ def stretches(lists: list[np.ndarray], span: int) -> list[tuple[int, int]]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
+    return report(find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), span=NEAR * WINDOW))
 
 
 ORACLE = r"""
@@ -338,7 +344,17 @@ WITH dw AS (
   SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS s FROM dw, sizes, unnest(range(1, len(w) - size + 2)) AS u(i) WHERE len(w) >= size
 ), occ AS (SELECT doc_id, item_id, size, i FROM spots JOIN win USING (size, s)
 ), hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM occ, unnest(range(i, i + size)) AS u(p) GROUP BY doc_id
-), it AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM occ GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+), it AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM occ GROUP BY doc_id
+), pos AS (SELECT doc_id, u.p, w[u.p] AS word FROM dw, unnest(range(1, len(w) + 1)) AS u(p)
+), df AS (SELECT word, count(*) AS df FROM pos GROUP BY word
+), wid AS (SELECT item_id, s, row_number() OVER () AS k FROM win
+), wt AS (SELECT DISTINCT k, item_id, unnest(string_split(s, ' ')) AS word FROM wid
+), wk AS (SELECT k, any_value(item_id) AS item_id, count(*) AS size, arg_min(word, (coalesce(df, 0), word)) AS rare FROM wt LEFT JOIN df USING (word) GROUP BY k HAVING min(coalesce(df, 0)) > 0
+), cand AS (SELECT wk.k, pos.doc_id, pos.p FROM wk JOIN pos ON pos.word = wk.rare
+), around AS (SELECT cand.k, cand.doc_id, cand.p, wt.word, list(pos.p) AS ps FROM cand JOIN wt USING (k) JOIN pos ON pos.doc_id = cand.doc_id AND pos.word = wt.word AND pos.p BETWEEN cand.p - 19 AND cand.p + 19 GROUP BY ALL
+), kept AS (SELECT k, doc_id, p, list(ps) AS lists FROM around JOIN wk USING (k) GROUP BY k, doc_id, p HAVING count(*) = any_value(size)
+), close AS (SELECT DISTINCT kept.doc_id, wk.item_id FROM kept JOIN wk USING (k), unnest(range(p - 19, p + 1)) AS u(b) WHERE len(list_filter(lists, lambda l: len(list_filter(l, lambda x: x BETWEEN b AND b + 19)) > 0)) = wk.size
+), nr AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM close GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, coalesce(nr.n, 0) AS n_near
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """

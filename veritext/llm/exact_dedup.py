@@ -28,7 +28,7 @@ BUCKET_KEYS = 40_000
 #: Bits of a level for each key that enters it.
 GAMMA = 1.7
 
-INDEX_SCHEMA = "bucket int, n_keys int, levels binary, digests binary, winners binary, counts binary"
+INDEX_SCHEMA = "bucket int, n_keys int, levels binary, digests binary, winners binary, unnamed binary, counts binary"
 
 
 def build_levels(keys: np.ndarray, gamma: float = GAMMA) -> list[np.ndarray]:
@@ -87,11 +87,12 @@ def _build(group: pa.Table) -> pa.Table:
     levels = build_levels(keys)
     at = slots(keys, levels)
     order = np.argsort(at)
-    winners = np.asarray(group.column("winner").fill_null(-(2**63)).to_numpy(), np.int64)[order]
+    winners = np.asarray(group.column("winner").fill_null(0).to_numpy(), np.int64)[order]
+    unnamed = np.asarray(group.column("winner").is_null().to_numpy(), bool)[order]
     counts = np.asarray(group.column("n").to_numpy(), np.int64)[order]
     return pa.table({
         "bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "n_keys": pa.array([len(raw)], pa.int32()),
-        "levels": [pack_levels(levels)], "digests": [raw[order].tobytes()], "winners": [winners.tobytes()], "counts": [counts.tobytes()],
+        "levels": [pack_levels(levels)], "digests": [raw[order].tobytes()], "winners": [winners.tobytes()], "unnamed": [np.packbits(unnamed).tobytes()], "counts": [counts.tobytes()],
     })
 
 
@@ -118,18 +119,19 @@ def _probe(asked: pa.Table, index: pa.Table) -> pa.Table:
     n = asked.num_rows
     if not n:
         return pa.table({"digest": pa.array([], pa.binary()), "old_winner": pa.array([], pa.int64()), "old_n": pa.array([], pa.int64())})
-    winner, count, member = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    winner, count, member, unnamed = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
     if index.num_rows:
-        row = {c: index.column(c)[0].as_py() for c in ("levels", "digests", "winners", "counts")}
+        row = {c: index.column(c)[0].as_py() for c in ("levels", "digests", "winners", "unnamed", "counts")}
         raw, keys = _keys(asked.column("digest"))
         at = slots(keys, unpack_levels(row["levels"]))
         stored = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
         safe = np.maximum(at, 0)
         member = (at >= 0) & (stored[safe] == raw).all(axis=1)
         winner, count = np.frombuffer(row["winners"], np.int64)[safe], np.frombuffer(row["counts"], np.int64)[safe]
+        unnamed = np.unpackbits(np.frombuffer(row["unnamed"], np.uint8), count=len(stored))[safe].astype(bool)
     return pa.table({
         "digest": asked.column("digest").combine_chunks(),
-        "old_winner": pa.array(winner, pa.int64(), mask=~member | (winner == -(2**63))),
+        "old_winner": pa.array(winner, pa.int64(), mask=~member | unnamed),
         "old_n": pa.array(np.where(member, count, 0), pa.int64()),
     })
 
@@ -145,8 +147,8 @@ def dedup(history: DataFrame, incoming: DataFrame) -> DataFrame:
     return verdicts(digest_rows(history).withColumn("old", F.lit(True)).unionByName(digest_rows(incoming).withColumn("old", F.lit(False))))
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """Verdicts on rows(doc_id, digest, old), which are read once: doc_id, keep_id, group_size, kept, text_sha256.
+def verdicts(rows: DataFrame, *further: str) -> DataFrame:
+    """Verdicts on rows(doc_id, digest, old), which are read once: doc_id, keep_id, group_size, kept, text_sha256, and further columns of rows.
 
     The distinct digests of old rows are indexed; the others' are looked up.
     Members join the group of their slot, all others form groups of their own.
@@ -171,7 +173,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         F.when(single, True).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"), *further,
     )
 
 
@@ -182,13 +184,14 @@ def is_history():
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of equal texts, also where rows repeat whole."""
-    found = common.stored(verdicts(digest_rows(docs).withColumn("old", is_history())), "dedup-rows")
-    acts = found.where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("NOT _kept OR _n > 1")
-    sha = F.sha2(common.lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
-    joined = docs.withColumn("_own", sha).join(acts, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    alone = joined.where("_n IS NULL")
-    first = joined.where("_kept").dropDuplicates(["_id", "_sha"])
-    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = common.documents(docs).select("doc_id", F.unhex(F.sha2(common.lower_ascii(F.col("text")), 256)).alias("digest"), common.text_digest().alias("sha"), is_history().alias("old"))
+    found = common.stored(verdicts(own, "sha").where("group_size > 1"), "dedup-rows")
+    # Rows that share the largest doc_id and differ in case only: the first by digest stays.
+    best = found.where("kept").groupBy("text_sha256").agg(F.min("sha").alias("best"))
+    rows = found.groupBy("doc_id", "sha", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    stays = F.col("kept") & (F.col("sha") == F.col("best"))
+    acts = rows.join(best, "text_sha256").select(F.col("doc_id").alias("id"), "sha", stays.alias("stays"), "n").where("NOT stays OR n > 1").drop("n")
+    return common.settle(docs, acts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,298 +1,155 @@
 """LM scoring by cross-entropy difference.
 
-A target and a background bigram model are matched: one vocabulary (the most
-frequent words of the corpus, all others as one unknown word), one order, one
-smoothing, and the background's counts scaled to the target's number of tokens.
-Each token's loss under the target model less its loss under the background
-model is averaged over a document; lower is nearer to the target.
-
-Word and bigram counts are taken over all rows, summed within each task and then
-by key. The models are a dense table of (VOCABULARY + 2) squared differences,
-whose size does not depend on the corpus; it is broadcast.
-
-whole() has the same models over every word of the corpus, whose size grows with
-it: counts of bigrams, contexts and words under 64-bit keys, which slices of the
-documents sum beforehand and ask for by a packed exchange; nothing is broadcast
-or collected. ORACLE fixes the vocabulary of query(); whole() is query_whole().
+A target and a background bigram model are matched: one vocabulary (every word of
+the corpus), one order, one smoothing, and the background's counts scaled to the
+target's number of tokens. Each token's loss under the target model less its loss
+under the background model is averaged over a document; lower is nearer to the
+target. What is counted grows with the corpus; nothing is broadcast or collected.
+
+The input is stored in numbered slices. The labels' verdicts are joined to the
+slices' doc_ids, and come back to the slices as one bit a document. A slice counts
+its bigrams and words, in all its documents and in its target ones, sends the
+counts to fragments of the hash range, and has the sums over all slices back. A
+word goes with the times it ends a document, so that its count as a context is
+known. The fragments also say how many words and tokens there are in all.
 
 Target: documents with label quality 1. Background: all documents.
 
 Defined cases: a null or empty text has no tokens and a null score; a null
 doc_id is never target; a doc_id with several labels is target if any is 1; with an
 empty target both models smooth to the same uniform one and scores are the
-background's. Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z.
+background's. Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and are told
+apart by 64-bit hashes, bigrams by 48 bits and their fragment.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import struct
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritext.llm import common, exchange
 
-#: Words of the shared vocabulary; the weights of the bigram and unigram parts; what is added to each word's count.
-VOCABULARY, BIGRAM, ADDED = 1024, 0.7, 0.1
-#: Distinct words that a task holds before it passes its counts on.
-MOST_WORDS = 400_000
-#: The word before a document's first; what sets the keys of bigrams, contexts and words apart; a multiplier for keys.
-BEGIN, AS_PAIR, AS_CONTEXT, AS_WORD, SPREAD = (np.uint64(x) for x in (1, 2, 3, 5, 0x9E3779B97F4A7C15))
-
-
-def tokens(text: bytes) -> list[bytes]:
-    return text.translate(common.LOWER_TABLE).split()
-
-
-def with_target(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows(doc_id, ids) with a boolean target, by a join that both sides shuffle at any size: what is shuffled of a document are its numbers."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    return rows.hint("merge").join(good.hint("merge"), "doc_id", "left").select("ids", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in count], pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
-
-        for _, texts in common.text_chunks(batches):
-            for t in texts:
-                count.update(tokens(t))
-            if len(count) > MOST_WORDS:
-                yield out()
-                count.clear()
-        if count:
-            yield out()
-
-    return common.documents(docs).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words, of equally frequent ones the first in order."""
-    return [r["word"].encode() for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-class Numbers(dict):
-    """Word -> number: 1 up for the vocabulary, 0 for all others. Text begins after the number len + 1."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__({w: i + 1 for i, w in enumerate(words)})
-        self.begin = len(words) + 1
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-    def ids(self, text: bytes) -> np.ndarray:
-        return np.array([self[w] for w in tokens(text)], np.uint16 if self.begin < 2**16 else np.uint32)
-
-
-def before(ids: np.ndarray, begin: int) -> np.ndarray:
-    """The number before each one."""
-    return np.concatenate([[begin], ids[:-1]])[: len(ids)].astype(np.int64)
-
-
-def numbered(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(doc_id, ids) of each row: its words' numbers in the vocabulary, in bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(sent.value)
-        for part, texts in common.text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([numbers.ids(t).tobytes() for t in texts], pa.binary())], ["doc_id", "ids"])
-
-    return common.documents(docs).mapInArrow(run, "doc_id bigint, ids binary")
-
-
-def bigram_counts(rows: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram counts of all rows(ids, target), and of those that are target: two tables of (n_words + 2) squared, summed by task and then by row."""
-    size = n_words + 2
-    kind = np.uint16 if n_words + 1 < 2**16 else np.uint32
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), np.int64)
-        for batch in batches:
-            for body, target in zip(batch.column("ids").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                now = np.frombuffer(body, kind).astype(np.int64)
-                at, n = np.unique(before(now, size - 1) * size + now, return_counts=True)
-                total[0, at] += n
-                if target:
-                    total[1, at] += n
-        for r in range(size):
-            a, b = total[0, r * size : (r + 1) * size], total[1, r * size : (r + 1) * size]
-            at = np.flatnonzero(a)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.concatenate([at, a[at], b[at]]).tobytes()], pa.binary())], ["row", "body"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros((2, size), np.int64)
-        for body in group.column("body").to_pylist():
-            at, a, b = np.frombuffer(body, np.int64).reshape(3, -1)
-            total[0, at] += a
-            total[1, at] += b
-        at = np.flatnonzero(total[0])
-        return pa.table({"row": group.column("row").slice(0, 1), "body": pa.array([np.concatenate([at, total[0, at], total[1, at]]).tobytes()], pa.binary())})
-
-    found = rows.mapInArrow(run, "row int, body binary").groupBy("row").applyInArrow(add, "row int, body binary").toArrow()
-    out = np.zeros((2, size, size))
-    for r, body in zip(found.column("row").to_pylist(), found.column("body").to_pylist(), strict=True):
-        at, a, b = np.frombuffer(body, np.int64).reshape(3, -1)
-        out[0, r, at], out[1, r, at] = a, b
-    return out[0], out[1]
-
-
-def losses(counts: np.ndarray, tokens_to: float) -> np.ndarray:
-    """-log p(word | word before), counts scaled to tokens_to tokens: bigrams interpolated with unigrams of added counts."""
-    total = counts.sum()
-    c = counts * (tokens_to / total if total else 0.0)
-    single = c.sum(0) + ADDED
-    single /= single.sum()
-    row = c.sum(1, keepdims=True)
-    pair = np.divide(c, row, out=np.zeros_like(c), where=row > 0)
-    return -np.log(np.where(row > 0, BIGRAM, 0.0) * pair + np.where(row > 0, 1 - BIGRAM, 1.0) * single[None, :])
-
-
-def models(background: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(target losses, background losses) of models matched to the target's size."""
-    size = target.sum() or background.sum()
-    return losses(target, size), losses(background, size)
-
-
-def score(rows: DataFrame, words: list[bytes], target: np.ndarray, background: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, n_known, target_loss, background_loss, score of each row: losses a token, and their difference."""
-    sent = rows.sparkSession.sparkContext.broadcast((words, target, background))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own, other = sent.value
-        numbers = Numbers(known)
-        for part, texts in common.text_chunks(batches):
-            n, k, a, b = [], [], [], []
-            for t in texts:
-                now = numbers.ids(t).astype(np.int64)
-                last = before(now, numbers.begin)
-                n.append(len(now))
-                k.append(int((now > 0).sum()))
-                a.append(float(own[last, now].mean()) if len(now) else None)
-                b.append(float(other[last, now].mean()) if len(now) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_tokens", "n_known", "target_loss", "background_loss"])
-
-    out = rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, target_loss double, background_loss double")
-    return out.select("doc_id", "n_tokens", "n_known", F.round("target_loss", 4).alias("target_loss"), F.round("background_loss", 4).alias("background_loss"), F.round(F.col("target_loss") - F.col("background_loss"), 4).alias("score"))
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """Scores every row of docs against the target documents that labels name."""
-    words = vocabulary(docs, size)
-    background, target = bigram_counts(with_target(numbered(docs, words), labels), len(words))
-    return score(common.documents(docs), words, *models(background, target))
-
-
-# --- models over all words -----------------------------------------------------
-
-
-def slice_counts(texts: list[bytes], target: list[bool], hashes: common.Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, counts, counts in target texts) of a slice's bigrams, contexts and words; each token's three places among them; the text of each token."""
-    parts = [common.hash_words(hashes, tokens(t)) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    of = np.repeat(np.arange(len(parts)), sizes)
-    words, now = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
-    k = len(words)
-    last = np.concatenate([[k], now[:-1]])[: len(now)].astype(np.int64)
-    last[np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]] = k
-    pairs, pair = np.unique(last * (k + 1) + now, return_inverse=True)
-    contexts = np.append(words, BEGIN)
-    keys = np.concatenate([
-        common.mix(common.mix(contexts[pairs // (k + 1)] + AS_PAIR) * SPREAD + contexts[pairs % (k + 1)]),
-        common.mix(common.mix(contexts + AS_CONTEXT) * SPREAD), common.mix(common.mix(words + AS_WORD) * SPREAD)])
-    places = np.stack([pair, len(pairs) + last, len(pairs) + k + 1 + now])
-    own = np.asarray(target, bool)[of] if len(of) else np.zeros(0, bool)
-    return keys, np.bincount(places.ravel(), minlength=len(keys)), np.bincount(places[:, own].ravel(), minlength=len(keys)), places, of
-
-
-def _packed(*counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(counts).astype("<i8").tobytes())
-
-
-def _unpacked(body: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), "<i8").reshape(2, -1)
-
-
-def _totals(parts: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """For each source's keys: both counts over all sources."""
-    keys = [np.frombuffer(b, "<u8") for b, _ in parts]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([_unpacked(m) for _, m in parts], axis=1)
-    sums = np.zeros((2, at.max() + 1), np.int64)
-    for total, n in zip(sums, counts, strict=True):
-        np.add.at(total, at, n)
-    return [(_packed(*sums[:, mine]), b"") for mine in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
-
-
-def model_sizes(rows: DataFrame) -> tuple[int, int, int]:
-    """(distinct words, tokens, tokens of target rows) of rows(text, target)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.Hashes()
-        for part, texts in common.text_chunks(batches):
-            found = [common.hash_words(hashes, tokens(t)) for t in texts]
-            own = np.repeat(np.array(part.column("target").to_pylist(), bool), [len(f) for f in found])
-            words, at = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(at, minlength=len(words))), pa.array(np.bincount(at[own], minlength=len(words)))], ["word", "n", "own"])
-
-    words = rows.mapInArrow(run, "word bigint, n bigint, own bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    found = words.agg(F.count(F.lit(1)), F.sum("n"), F.sum("own")).first()
-    return found[0], found[1] or 0, found[2] or 0
-
-
-def whole(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """What cross_entropy_difference() gives with a vocabulary of all words."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    marked = common.documents(docs).hint("merge").join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    # A task that is run again must read its slices in the same order, as from a file.
-    rows = common.stored(marked, "lm-rows", compression="zstd")
-    n_words, n_tokens, n_target = model_sizes(rows)
-    n = exchange.fragments_for(exchange.total_bytes(rows) / 6)
+#: The weights of the bigram and unigram parts, as the bigram's; and what is added to each word's count.
+BIGRAM, ADDED = 0.7, 0.1
+#: Text bytes of a slice: larger ones repeat fewer bigrams.
+SLICE_BYTES = 8 << 20
+#: The word before a document's first; what sets the keys of bigrams and words apart; a multiplier for keys.
+BEGIN, AS_PAIR, AS_WORD, SPREAD = (np.uint64(x) for x in (1, 2, 5, 0x9E3779B97F4A7C15))
+#: Counts of a key: all, in target documents, and how often the word ends a document, all and target.
+ROWS = 4
+
+
+# --- what a slice counts -------------------------------------------------------
+
+class Slice:
+    """A slice's distinct bigrams and words: their keys, and the place of each token's bigram, context and word among them.
+
+    The lowest bit of a key is 1 for words and 0 for bigrams and for BEGIN.
+    """
+
+    def __init__(self, body: bytes):
+        self.ids, texts, _ = exchange.unpack(body)
+        flat, self.counts = common.word_hashes(texts, common.LOWER_TABLE)
+        self.of = np.repeat(np.arange(len(texts)), self.counts)
+        words, now = np.unique(flat, return_inverse=True)
+        k = len(words)
+        some = self.counts > 0
+        self.ends = np.cumsum(self.counts)[some] - 1
+        last = np.concatenate([[k], now[:-1]])[: len(now)]
+        last[self.ends - self.counts[some] + 1] = k
+        pairs, pair = np.unique(last * (k + 1) + now, return_inverse=True)
+        contexts = np.append(words, BEGIN)
+        as_word = common.mix(common.mix(contexts + AS_WORD) * SPREAD)
+        as_word[:k] |= np.uint64(1)
+        as_word[k] &= ~np.uint64(1)
+        as_pair = common.mix(common.mix(contexts[pairs // (k + 1)] + AS_PAIR) * SPREAD + contexts[pairs % (k + 1)]) & ~np.uint64(1)
+        self.keys = np.concatenate([as_pair, as_word])
+        self.pair, self.context, self.word = pair, len(pairs) + last, len(pairs) + now
+        self.begin = len(self.keys) - 1
+
+    def weights(self, target: np.ndarray) -> np.ndarray:
+        """ROWS x keys. target: a boolean for each text."""
+        out = np.zeros((ROWS, len(self.keys)), np.int64)
+        for row, mine in enumerate((np.ones(len(self.of), bool), target[self.of])):
+            out[row] = np.bincount(np.concatenate([self.pair[mine], self.word[mine]]), minlength=len(self.keys))
+            ends = self.ends[mine[self.ends]]
+            out[row, self.begin] = len(ends)
+            out[row + 2] = np.bincount(self.word[ends], minlength=len(self.keys))
+        return out
+
+
+def fragment_stats(values: np.ndarray, sums: np.ndarray) -> bytes:
+    """A fragment's distinct words, tokens, and tokens of the target."""
+    words = (values & np.uint64(1)).astype(bool)
+    return struct.pack("<qqq", int(words.sum()), int(sums[0, words].sum()), int(sums[1, words].sum()))
+
+
+# --- models --------------------------------------------------------------------
+
+def losses(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n_words: int, total: int, size: int) -> np.ndarray:
+    """-log p(word | context) from counts among `total` tokens, scaled to `size` tokens: bigrams interpolated with unigrams of added counts."""
+    single = (word * (size / total if total else 0.0) + ADDED) / ((size if total else 0) + ADDED * (n_words + 2))
+    return -np.log(np.where(context > 0, BIGRAM * pair / np.maximum(context, 1) + (1 - BIGRAM) * single, single))
+
+
+def target_bits(slices: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, fragment, body): for each slice that has target documents, a bit for each of its documents."""
+    ids = "source bigint, slot int, doc_id bigint"
+
+    def named(source: int, body: bytes) -> pa.RecordBatch:
+        own = exchange.unpack(body)[0]
+        return pa.RecordBatch.from_arrays([pa.array([source] * len(own), pa.int64()), pa.array(range(len(own)), pa.int32()), pa.array(own, pa.int64())], ["source", "slot", "doc_id"])
+
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    slots = slices.select("source", "body").mapInArrow(exchange.each_slice(named), ids).where("doc_id IS NOT NULL").join(good, "doc_id", "left_semi")
+
+    def gathered(group: pa.Table) -> pa.Table:
+        slot = group.column("slot").to_numpy()
+        bits = np.zeros(int(slot.max()) + 1, bool)
+        bits[slot] = True
+        return pa.table({"source": group.column("source").slice(0, 1), "fragment": pa.array([0], pa.int64()), "body": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    return slots.select("source", "slot").groupBy("source").applyInArrow(gathered, exchange.SQL)
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every row of docs: losses a token under the models, and their difference."""
+    slices = exchange.slices(docs, "lm-slices", SLICE_BYTES)
+    deal = exchange.Deal.of(slices, 1 / 4)
+    kind = exchange.Counts(ROWS, fragment_stats)
+
+    def dealt(cut: Slice) -> exchange.Dealt:
+        return exchange.Dealt(deal, cut.keys, kind, 48)
+
+    def send(source: int, body: bytes, bits: dict[int, bytes]) -> pa.Table:
+        cut = Slice(body)
+        target = np.zeros(len(cut.ids), bool)
+        if bits:
+            found = np.unpackbits(np.frombuffer(bits[0], np.uint8))[: len(target)].astype(bool)
+            target[: len(found)] = found
+        return pa.Table.from_batches([dealt(cut).rows(source, cut.weights(target))])
+
+    replies = common.stored(exchange.exchange(exchange.at_slices(slices, target_bits(slices, labels), send, exchange.SQL), deal, kind), "lm-counts", compression="none")
+    told = replies.where("source = -1").select("body").toArrow().column("body").to_pylist()
+    n_words, n_tokens, n_target = (sum(x) for x in zip((0, 0, 0), *[struct.unpack("<qqq", b) for b in told], strict=True))
     size = n_target or n_tokens
 
-    def dealt(keys: np.ndarray) -> list[np.ndarray]:
-        return exchange.deal(keys, ((keys >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, key = common.Hashes(), common.task_key()
-        for part, texts in common.text_chunks(batches):
-            keys, all_, own, _, _ = slice_counts(texts, part.column("target").to_pylist(), hashes)
-            parts = [(f, keys[idx].astype("<u8").tobytes(), _packed(all_[idx], own[idx])) for f, idx in enumerate(dealt(keys)) if len(idx)]
-            yield exchange.rows(key(), exchange.pack(part.column("doc_id").to_pylist(), texts), parts)
-
-    def losses_of(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int) -> np.ndarray:
-        single = (word * (size / total if total else 0.0) + ADDED) / ((size if total else 0) + ADDED * (n_words + 2))
-        return -np.log(np.where(context > 0, BIGRAM * pair / np.maximum(context, 1) + (1 - BIGRAM) * single, single))
+    def finish(source: int, body: bytes, found: dict[int, bytes]) -> pa.Table:
+        cut = Slice(body)
+        sums = dealt(cut).sums(found)
+        n, mean = cut.counts, []
+        for row, total in ((0, n_tokens), (1, n_target)):
+            context = sums[row] - sums[row + 2]
+            each = losses(sums[row, cut.pair], context[cut.context], sums[row, cut.word], n_words, total, size)
+            mean.append(np.bincount(cut.of, each, len(n)) / np.maximum(n, 1))
+        return pa.table({"doc_id": pa.array(cut.ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "background_loss": pa.array(mean[0], mask=n == 0), "target_loss": pa.array(mean[1], mask=n == 0)})
 
-    def finish(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
-        ids, texts, _ = exchange.unpack(kept)
-        keys, _, _, places, of = slice_counts(texts, [False] * len(texts), common.Hashes())
-        counts = np.zeros((2, len(keys)), np.int64)
-        for f, idx in enumerate(dealt(keys)):
-            if len(idx):
-                counts[:, idx] = _unpacked(parts[f][0])
-        found = np.bincount(of, minlength=len(ids))
-        mean = [np.bincount(of, losses_of(*c[places], total), len(ids)) / np.maximum(found, 1) for c, total in zip(counts, (n_tokens, n_target), strict=True)]
-        return pa.table([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), *[pa.array(m, pa.float64(), mask=found == 0) for m in mean]], ["doc_id", "n_tokens", "background_loss", "target_loss"])
-
-    sent = rows.mapInArrow(send, exchange.SCHEMA)
-    out = exchange.collect_sources(exchange.exchange(sent, _totals), finish, "doc_id bigint, n_tokens bigint, background_loss double, target_loss double")
-    return out.select("doc_id", "n_tokens", F.col("n_tokens").alias("n_known"), F.round("target_loss", 4).alias("target_loss"), F.round("background_loss", 4).alias("background_loss"), F.round(F.col("target_loss") - F.col("background_loss"), 4).alias("score"))
-
-
-def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    out = exchange.at_slices(slices, replies, finish, "doc_id bigint, n_tokens bigint, background_loss double, target_loss double")
+    return out.select("doc_id", "n_tokens", F.round("target_loss", 4).alias("target_loss"), F.round("background_loss", 4).alias("background_loss"), F.round(F.col("target_loss") - F.col("background_loss"), 4).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,9 +161,9 @@ WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w,
     doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents
 ), t AS (SELECT r, target, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS u(i)
-), v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, encode(word)) AS k FROM t GROUP BY word QUALIFY k <= {VOCABULARY}
+), v AS (SELECT word, row_number() OVER (ORDER BY word) AS k FROM t GROUP BY word
 ), size AS (SELECT count(*) + 2 AS s FROM v
-), ids AS (SELECT r, target, i, coalesce(k, 0) AS now FROM t LEFT JOIN v USING (word)
+), ids AS (SELECT r, target, i, k AS now FROM t JOIN v USING (word)
 ), pairs AS (SELECT r, target, now, coalesce(lag(now) OVER (PARTITION BY r ORDER BY i), (SELECT s - 1 FROM size)) AS before FROM ids
 ), c AS (SELECT before, now, CAST(count(*) AS DOUBLE) AS b, CAST(count(*) FILTER (target) AS DOUBLE) AS a FROM pairs GROUP BY 1, 2
 ), n AS (SELECT sum(a) AS a, sum(b) AS b, CASE WHEN sum(a) > 0 THEN sum(a) ELSE sum(b) END AS m FROM c
@@ -319,9 +176,6 @@ WITH w AS (
     -ln(CASE WHEN ctx.a > 0 THEN {BIGRAM} * sc.a / ctx.a + {1 - BIGRAM} * one.a / whole.a ELSE one.a / whole.a END) AS la,
     -ln(CASE WHEN ctx.b > 0 THEN {BIGRAM} * sc.b / ctx.b + {1 - BIGRAM} * one.b / whole.b ELSE one.b / whole.b END) AS lb
   FROM sc JOIN one USING (now) JOIN ctx USING (before), whole
-), s AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (now > 0) AS n_known, avg(la) AS la, avg(lb) AS lb FROM pairs JOIN l USING (before, now) GROUP BY r)
-SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_known, 0) AS n_known, round(la, 4) AS target_loss, round(lb, 4) AS background_loss, round(la - lb, 4) AS score FROM w LEFT JOIN s USING (r)
+), s AS (SELECT r, count(*) AS n_tokens, avg(la) AS la, avg(lb) AS lb FROM pairs JOIN l USING (before, now) GROUP BY r)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(la, 4) AS target_loss, round(lb, 4) AS background_loss, round(la - lb, 4) AS score FROM w LEFT JOIN s USING (r)
 """
-
-#: The same with every word numbered.
-WHOLE_ORACLE = ORACLE.replace(f" QUALIFY k <= {VOCABULARY}", "")

@@ -132,6 +132,7 @@ def fold(column: str = "doc_id"):
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats array<double>) of each row."""
 
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.text_chunks(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(statistics(texts)), pa.list_(pa.float64()))], ["doc_id", "stats"])
@@ -241,19 +242,17 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = common.stored(document_statistics(docs), "quality-statistics")
     model = fit(labelled(stats, labels))
     common.drop(stats)
-    fields = docs.columns
-    names = {c: f"c{i}" for i, c in enumerate(fields)}
-    # The text column goes by the kernel's name, all others pass under names that can't clash with it.
-    renamed = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in fields], F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    schema = renamed.drop("text").schema
+    at = docs.columns.index("text")
+    # The text goes by the kernel's name, all other columns under names that can't clash with it.
+    names = ["text" if i == at else f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
 
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.text_chunks(batches):
-            good = pa.array(scores(statistics(texts), model) >= THRESHOLD)
-            yield part.drop_columns(["text"]).filter(good)
+            yield part.filter(pa.array(scores(statistics([t or b"" for t in texts]), model) >= THRESHOLD))
 
-    kept = renamed.mapInArrow(run, schema)
-    return kept.select(*[F.col(names[c]).alias(c) for c in fields])
+    return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,12 @@ from veritext.llm import decontamination, exact_dedup, jaccard_join, lm_scoring,
 def queries() -> dict:
     return {
         "op1_lm_scoring": lm_scoring.query,
-        "op1_lm_scoring_whole": lm_scoring.query_whole,
         "op2_secret_scan": secret_scan.query,
         "op3_warc_bundles": warc_bundles.query,
         "op4_quality_classifier": quality_classifier.query,
         "op5_sentencepiece": sentencepiece_bpe.query,
         "op6_jaccard_join": jaccard_join.query,
-        "op6_jaccard_join_links": jaccard_join.query_links,
+        "jaccard_links": jaccard_join.query_links,
         "op7_exact_dedup": exact_dedup.query,
         "op8_pii": pii.query,
         "op9_decontamination": decontamination.query,
@@ -28,10 +27,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_lm_scoring": lm_scoring.ORACLE,
-        "op1_lm_scoring_whole": lm_scoring.WHOLE_ORACLE,
         "op3_warc_bundles": warc_bundles.ORACLE,
         "op6_jaccard_join": jaccard_join.ORACLE,
-        "op6_jaccard_join_links": jaccard_join.LINKS_ORACLE,
+        "jaccard_links": jaccard_join.LINKS_ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,

@@ -5,8 +5,9 @@ below v for which i + d and j + d both lie in the cover's residues. So two equal
 windows of w words share an equal anchor of w - (v - 1) words that starts at a
 cover position in both. Only anchors are hashed and exchanged first. A repeated
 anchor then extends to the windows that hold it, and only these windows are
-hashed (64 bits, dealt by further bits of a second hash) and counted exactly.
-No pairs of documents are made; a hot passage sends one value a source.
+hashed (64 bits of another hash) and counted: windows are told apart by 64-bit
+hashes, so results are exact but for their collisions. No pairs of documents are
+made; a hot passage sends one value a slice.
 
 Defined cases: a null or empty text has no words; texts shorter than a window
 lose nothing. Rows that repeat are documents of their own, so copies remove each
@@ -16,11 +17,12 @@ other's windows wholly.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritext.llm import common, exchange
 
@@ -34,34 +36,26 @@ RESULT_SQL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 strin
 BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]).astype(np.uint64), dtype=np.uint64)
-
-
 class Rolling:
     """Hashes of word sequences at any places of a flat array of word hashes."""
 
     def __init__(self, flat: np.ndarray, base: int):
-        self.pow = powers(base, len(flat))
-        self.back = powers(pow(base, -1, 2**64), len(flat))
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(flat * self.pow[:-1], dtype=np.uint64)])
+        self.sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(flat * common.powers(base, len(flat))[:-1], out=self.sums[1:])
+        self.back = common.powers(pow(base, -1, 2**64), len(flat))
 
     def at(self, begin: np.ndarray, size: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return common.mix((self.sums[begin + size] - self.sums[begin]) * self.back[begin])
+        return common.mix((self.sums[begin + size] - self.sums[begin]) * self.back[begin])
 
 
 class Slice:
-    """The words of a source's texts: hashes in one array, and where each document's begin and end."""
+    """The words of a slice's texts: hashes in one array, and where each document's begin and end."""
 
-    def __init__(self, texts: list[bytes], hashes: common.Hashes):
-        self.words = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
+    def __init__(self, body: bytes):
+        self.ids, self.texts, _ = exchange.unpack(body)
+        self.flat, self.counts = common.word_hashes(self.texts, common.PLAIN_TABLE)
         self.ends = np.cumsum(self.counts)
         self.begins = self.ends - self.counts
-        self.flat = np.concatenate([common.hash_words(hashes, w) for w in self.words]) if texts else np.zeros(0, np.uint64)
 
     def room(self) -> np.ndarray:
         """Words from each place to its document's end."""
@@ -74,41 +68,6 @@ class Slice:
         return place[np.isin(within % period, cover) & (self.room() >= size)]
 
 
-def dealt(values: np.ndarray, fragment: np.ndarray, n: int, dtype: str) -> tuple[list[tuple[int, bytes, bytes]], list[np.ndarray]]:
-    """Parts for the exchange, of a source's distinct values with the times that it has each; and the places of each part's values, value by value."""
-    parts, places = [], []
-    for f, idx in enumerate(exchange.deal(values, fragment, n)):
-        v = values[idx]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(v)))
-        places.append((idx, times))
-        if len(v):
-            parts.append((f, v[first].astype(dtype).tobytes(), np.packbits(times > 1).tobytes()))
-    return parts, places
-
-
-def answer(dtype: str):
-    def marks(parts: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-        """A bit for each value that more than one place has."""
-        given = []
-        for body, several in parts:
-            v = np.frombuffer(body, dtype)
-            given.append((v, 1 + np.unpackbits(np.frombuffer(several, np.uint8), count=len(v)).astype(np.int64)))
-        return [(b"", np.packbits(t > 1).tobytes()) for t in exchange.repeated(given)]
-
-    return marks
-
-
-def marked(places: list, parts: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
-    """The places (indices into the values dealt) whose value was marked."""
-    out = [np.zeros(0, np.int64)]
-    for f, (idx, times) in enumerate(places):
-        if f in parts and len(idx):
-            bits = np.unpackbits(np.frombuffer(parts[f][1], np.uint8), count=len(times)).astype(bool)
-            out.append(idx[np.repeat(bits, times)])
-    return np.concatenate(out)
-
-
 def candidate_starts(cut: Slice, hit: np.ndarray, window: int, size: int) -> np.ndarray:
     """Places of the windows that hold an anchor which was marked."""
     cover = np.zeros(len(cut.flat) + 1, np.int64)
@@ -125,65 +84,52 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def results(ids: list, cut: Slice, gone: np.ndarray, with_text: bool) -> pa.Table:
+def results(cut: Slice, gone: np.ndarray, with_text: bool) -> pa.Table:
     out: list[tuple] = []
-    for k, words in enumerate(cut.words):
+    for k, text in enumerate(cut.texts):
         g = gone[cut.begins[k] : cut.ends[k]]
-        removed = int(g.sum())
-        kept = b" ".join([w for w, x in zip(words, g.tolist(), strict=True) if not x] if removed else words)
-        out.append((ids[k], len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+        removed, words = int(g.sum()), text.split()
+        kept = b" ".join(itertools.compress(words, (~g).tolist()) if removed else words)
+        out.append((cut.ids[k], len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
     return pa.table([pa.array([r[i] for r in out], RESULT.field(i).type) for i in range(5)], schema=RESULT)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text of every document.
-
-    docs must read the same rows in the same order when a task is run again, as a
-    scan does; store what comes from a shuffle first.
-    """
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text of every document."""
     size = window - (period - 1)
     if size < 1 or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("the cover must have every difference, and the window be as long as the period")
-    rows = common.documents(docs)
-    n = exchange.fragments_for(exchange.total_bytes(rows) / 5 * len(cover) / period)
-    m = exchange.fragments_for(exchange.FRAGMENT_FEATURES * n / 2)
+    slices = exchange.slices(docs, "substring-slices")
+    to_anchors = exchange.Deal.of(slices, len(cover) / period / 6)
+    to_windows = exchange.Deal.of(slices, 1 / 12)
+    anchor_kind, window_kind = to_anchors.marks(32), to_windows.marks(64)
 
-    def anchor_parts(cut: Slice) -> tuple[np.ndarray, list, list]:
+    def anchors_of(cut: Slice) -> tuple[np.ndarray, exchange.Dealt]:
         place = cut.anchors(size, period, cover)
-        h = Rolling(cut.flat, BASE[0]).at(place, size)
-        return (place, *dealt((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n, "<u4"))
-
-    def window_parts(cut: Slice, starts: np.ndarray) -> tuple[list, list]:
-        f = Rolling(cut.flat, BASE[1]).at(starts, window) % np.uint64(m)
-        return dealt(Rolling(cut.flat, BASE[0]).at(starts, window), f.astype(np.int64), m, "<u8")
-
-    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, key = common.Hashes(), common.task_key()
-        for part, texts in common.text_chunks(batches):
-            _, parts, _ = anchor_parts(Slice(texts, hashes))
-            yield exchange.rows(key(), exchange.pack(part.column("doc_id").to_pylist(), texts), parts)
-
-    def send_windows(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
-        ids, texts, _ = exchange.unpack(kept)
-        cut = Slice(texts, common.Hashes())
-        place, _, places = anchor_parts(cut)
-        starts = candidate_starts(cut, place[marked(places, parts)], window, size)
-        runs = np.flatnonzero(np.diff(np.concatenate([[-2], starts])) != 1)
-        spans = np.stack([starts[runs], np.diff(np.append(runs, len(starts)))], 1).astype("<u4").tobytes()
-        sent, _ = window_parts(cut, starts)
-        return pa.Table.from_batches([exchange.rows(source, exchange.pack(ids, texts, spans), sent)])
-
-    def finish(source: int, kept: bytes, parts: dict[int, tuple[bytes, bytes]]) -> pa.Table:
-        ids, texts, spans = exchange.unpack(kept)
-        cut = Slice(texts, common.Hashes())
-        runs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
-        starts = np.repeat(runs[:, 0] - np.cumsum(runs[:, 1]) + runs[:, 1], runs[:, 1]) + np.arange(runs[:, 1].sum())
-        _, places = window_parts(cut, starts)
-        return results(ids, cut, covered(len(cut.flat), starts[marked(places, parts)], window), with_text)
-
-    sent = rows.mapInArrow(send_anchors, exchange.SCHEMA)
-    windows = exchange.collect_sources(exchange.exchange(sent, answer("<u4")), send_windows, exchange.SCHEMA)
-    out = exchange.collect_sources(exchange.exchange(windows, answer("<u8")), finish, RESULT_SQL)
+        return place, exchange.Dealt(to_anchors, Rolling(cut.flat, BASE[0]).at(place, size), anchor_kind, 32)
+
+    def windows_of(cut: Slice, replies: dict[int, bytes]) -> tuple[np.ndarray, exchange.Dealt]:
+        place, dealt = anchors_of(cut)
+        starts = candidate_starts(cut, place[dealt.sums(replies)[0] > 1], window, size)
+        return starts, exchange.Dealt(to_windows, Rolling(cut.flat, BASE[1]).at(starts, window), window_kind, 64)
+
+    def send_anchors(source: int, body: bytes) -> pa.RecordBatch:
+        return anchors_of(Slice(body))[1].rows(source)
+
+    def send_windows(source: int, body: bytes, replies: dict[int, bytes]) -> pa.Table:
+        return pa.Table.from_batches([windows_of(Slice(body), replies)[1].rows(source)])
+
+    def finish(source: int, body: bytes, replies: dict[int, bytes]) -> pa.Table:
+        cut = Slice(body)
+        starts, dealt = windows_of(cut, {f: x for f, x in replies.items() if f >= 0})
+        hit = dealt.sums({-1 - f: x for f, x in replies.items() if f < 0})[0] > 1
+        return results(cut, covered(len(cut.flat), starts[hit], window), with_text)
+
+    # The replies about anchors are one bit for each, and needed twice.
+    anchors = common.stored(exchange.exchange(slices.select("source", "body").mapInArrow(exchange.each_slice(send_anchors), exchange.SQL), to_anchors, anchor_kind), "substring-anchors")
+    windows = exchange.exchange(exchange.at_slices(slices, anchors, send_windows, exchange.SQL), to_windows, window_kind)
+    both = anchors.unionByName(windows.withColumn("fragment", -1 - F.col("fragment")))
+    out = exchange.at_slices(slices, both, finish, RESULT_SQL)
     return out if with_text else out.drop("kept")
 
 
