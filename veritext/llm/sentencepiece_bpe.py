@@ -2,15 +2,16 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by score (ties: the
 leftmost) and merges the best until none is in the vocabulary; symbols without a
-piece become byte pieces. A text is first cut where no piece of the vocabulary
-can span: between two characters that stand together in no piece. A chunk's ids
-don't depend on its neighbours and are kept for the next time the chunk is met.
-Cuts before blanks and around line feeds come first, if the vocabulary allows
-them, which is checked as it is loaded.
+piece become byte pieces. The agenda of a short text is a plain list whose least
+entry goes next, that of a long one a heap with void entries. A text is first cut
+before blanks, around line feeds, and between words and marks after them, where no piece of the
+vocabulary spans such places, which is found as it is loaded; long chunks also
+between any characters that stand together in no piece. A chunk's ids don't depend on its neighbours and
+are kept for the next time the chunk is met.
 
-Each Arrow batch is checked against the sentencepiece library: every chunk that
-the worker meets for the first time, and the batch's first whole text, ids and
-decoded text alike. A difference raises an error.
+Each Arrow batch is checked against the sentencepiece library: all chunks that the
+worker meets for the first time, put together as texts, and the batch's first whole
+text, ids and decoded text alike. A difference raises an error.
 
 Defined cases: a null text is empty; an empty text has the begin and end ids only
 and decodes to the empty text. A text of any length is encoded whole.
@@ -24,6 +25,7 @@ import re
 import struct
 import sys
 import types
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,10 @@ from veritext.llm import common
 
 BLANK = "▁"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-#: Chunks, and parts of chunks, that a worker keeps with their ids.
-KEPT_CHUNKS, KEPT_PARTS = 500_000, 250_000
+#: Chunks that a worker keeps with their ids, and characters up to which the agenda is a list.
+KEPT_CHUNKS, SHORT = 300_000, 40
+#: Characters of the texts that new chunks are put together to for the check.
+CHECK_CHARS = 1 << 16
 
 
 class Model:
@@ -55,6 +59,8 @@ class Model:
         self.char_ids = {p: i for p, (_, i) in self.rank.items() if len(p) == 1}
         # Two pieces' numbers -> the rank of the piece that they make, and its number.
         self.pairs = {self.rank[p[:k]][1] * self.base + self.rank[p[k:]][1]: order[r] << 20 | i for p, (r, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank}
+        #: Scores that several pieces which can be merged share.
+        self.tied = {x for x, n in Counter(x >> 20 for x in set(self.pairs.values())).items() if n > 1}
         self.has_bytes = all(lib.is_byte(i) for i in self.byte_ids)
         self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
         self.unused = {i for i in range(n) if lib.is_unused(i)}
@@ -63,15 +69,52 @@ class Model:
         self.is_byte = [i in byte_of for i in range(n)]
         plain = [p for i, p in enumerate(self.pieces) if not special[i]]
         safe = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in plain)
-        self.cut = re.compile(r" *[^ \n]+| +|\n" if safe else r"(?s).+")
         #: Neighbouring characters that some piece holds: no piece spans any others.
         self.inner = {p[k : k + 2] for p in plain for k in range(len(p) - 1)}
-        #: Ids in bytes; with the decoded bytes too where these aren't the chunk's own.
-        self.kept: dict[str, bytes | tuple[bytes, bytes]] = {}
-        self.parts: dict[str, bytes] = {}
+        # A word is cut off a mark after it, but for characters that a mark follows in some piece.
+        marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+        bound = "".join(sorted({before for before, c in self.inner if c in marks and before not in marks}))
+        words = rf" *+[^ \n{re.escape(marks + bound)}]++(?=[{re.escape(marks)}])"
+        self.cut = re.compile(words + r"| *[^ \n]+| +|\n" if safe else r"(?s).+")
+        #: Chunk -> ids in bytes; and the decoded bytes of chunks where these aren't the chunk's own.
+        self.kept: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
-        """Ids of a text whose blanks are escaped, by the agenda of adjacent pairs."""
+        """Ids of a text whose blanks are escaped."""
+        return self.merge_short(text) if len(text) <= SHORT and not self.unused else self.merge_long(text)
+
+    def merge_short(self, text: str) -> list[int]:
+        """By an agenda with an entry for each place, of which the leftmost of the best score goes next."""
+        base, pairs, at = self.base, self.pairs.get, self.char_ids.get
+        none = base - 1
+        symbols = [at(c, none) for c in text]
+        last = 1 << 60
+        agenda = [pairs(a * base + b, last) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := min(agenda)) < last:
+            i = agenda.index(best)
+            if best >> 20 in self.tied:
+                i = next(k for k, x in enumerate(agenda) if x >> 20 == best >> 20)
+                best = agenda[i]
+            symbols[i : i + 2] = (merged := best & 0xFFFFF,)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = pairs(merged * base + symbols[i + 1], last)
+            if i:
+                agenda[i - 1] = pairs(symbols[i - 1] * base + merged, last)
+        if none not in symbols:
+            return symbols
+        out, place = [], 0
+        for x in symbols:
+            if x == none:
+                out.extend((self.byte_ids[b] for b in text[place].encode()) if self.has_bytes else [self.unk])
+            else:
+                out.append(x)
+            place += 1 if x == none else len(self.pieces[x])
+        return out
+
+    def merge_long(self, text: str) -> list[int]:
+        """By a heap of pairs over a linked list of symbols."""
         base, dead, pairs = self.base, self.base - 2, self.pairs
         at = self.char_ids
         symbols = [at.get(c, base - 1) for c in text]
@@ -134,18 +177,14 @@ class Model:
 
     def chunk(self, raw: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of a chunk of the text with its prefix blank."""
-        text, inner, parts = raw.replace(" ", BLANK), self.inner, self.parts
-        cuts = [0, *[i for i, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in inner], len(text)]
-        out = []
-        for a, b in zip(cuts, cuts[1:]):
-            if (found := parts.get(part := text[a:b])) is None:
-                if len(parts) > KEPT_PARTS:
-                    parts.clear()
-                ids = self.merge(part)
-                found = parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(found)
-        data = b"".join(out)
-        return data, self.surface_of(list(struct.unpack(f"<{len(data) // 4}I", data)))
+        text = raw.replace(" ", BLANK)
+        if len(text) <= SHORT:
+            ids = self.merge(text)
+        else:
+            cuts = [0, *[i for i, pair in enumerate(map(str.__add__, text, text[1:]), 1) if pair not in self.inner], len(text)]
+            ids = [x for a, b in zip(cuts, cuts[1:]) for x in self.merge(text[a:b])]
+        own, plain = raw.encode(), b"".join([self.surface[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids), own if plain == own else self.surface_of(ids)
 
     def encode(self, text: str) -> list[int]:
         """All ids of a whole text, with begin and end."""
@@ -198,24 +237,24 @@ def worker_model(proto: bytes) -> Model:
 
 def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tuple[int, str, str, bytes]]:
     """(n_tokens, ids_sha256, decoded_sha256, ids in bytes) of whole texts; checked against the library."""
-    cut, kept = model.cut.findall, model.kept
+    cut, kept, odd = model.cut.findall, model.kept, model.odd
     if len(kept) > KEPT_CHUNKS:
         kept.clear()
-    parts = [cut(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
-    new = [c for c in set().union(*parts) if c not in kept]
-    made = {c: model.chunk(c) for c in new}
-    if check and new:
+        odd.clear()
+    plain = [t.replace(BLANK, " ") for t in texts]
+    parts = [cut(" " + t) if t else [] for t in plain]
+    made = {c: model.chunk(c) for c in set().union(*parts).difference(kept)}
+    if check:
         verify(model, made)
-    # Where all chunks decode to themselves, so does the text.
-    kept.update((c, m[0] if m[1] == c.encode() else m) for c, m in made.items())
+    kept.update((c, m[0]) for c, m in made.items())
+    odd.update((c, m[1]) for c, m in made.items() if m[1] != c.encode())
     begin, end = struct.pack("<I", model.bos), struct.pack("<I", model.eos)
     out = []
-    for chunks in parts:
-        found = [kept[c] for c in chunks]
-        odd = any(type(x) is tuple for x in found)
-        ids = b"".join([begin, *([x[0] if type(x) is tuple else x for x in found] if odd else found), end])
-        text = b"".join([x[1] if type(x) is tuple else c.encode() for c, x in zip(chunks, found)]) if odd else "".join(chunks).encode()
-        out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text[1:]).hexdigest(), ids))
+    for t, chunks in zip(plain, parts):
+        ids = b"".join([begin, *map(kept.__getitem__, chunks), end])
+        # Where all chunks decode to themselves, so does the text.
+        text = t.encode() if not odd or odd.keys().isdisjoint(chunks) else b"".join([odd.get(c) or c.encode() for c in chunks])[1:]
+        out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), ids))
     if check and texts:
         ids = [model.bos, *model.library.encode(texts[0]), model.eos]
         own = out[0]
@@ -225,28 +264,39 @@ def encode_texts(model: Model, texts: list[str], check: bool = True) -> list[tup
 
 
 def verify(model: Model, made: dict[str, tuple[bytes, bytes]]) -> None:
-    """Compares chunks' ids and decoded texts with the library's. The library puts a blank before its input, so that of a chunk is taken off."""
-    own = [c for c in made if c[0] == " "]
-    ids = [list(struct.unpack(f"<{len(made[c][0]) // 4}I", made[c][0])) for c in own]
-    for c, mine, theirs in zip(own, ids, model.library.encode([c[1:] for c in own], num_threads=1), strict=True):
-        if len(c) > 1 and mine != theirs:
-            raise ValueError(f"chunk {c[:80]!r} is encoded otherwise than by the library")
-    for c, text in zip(own, model.library.decode(ids, num_threads=1), strict=True):
-        if text.encode() != made[c][1][1:]:
-            raise ValueError(f"chunk {c[:80]!r} is decoded otherwise than by the library")
-    # Other chunks follow a line break here, as no piece spans one; the library's ids and text of the break are taken off.
-    rest = [c for c in made if c[0] != " "]
-    head = model.library.encode("\n")
-    ids = [list(struct.unpack(f"<{len(made[c][0]) // 4}I", made[c][0])) for c in rest]
-    for c, mine, theirs in zip(rest, ids, model.library.encode(["\n" + c for c in rest], num_threads=1), strict=True):
-        if head + mine != theirs:
-            raise ValueError(f"chunk {c[:80]!r} is encoded otherwise than by the library")
-    for c, text in zip(rest, model.library.decode([head + x for x in ids], num_threads=1), strict=True):
-        if text.encode() != b"\n" + made[c][1]:
-            raise ValueError(f"chunk {c[:80]!r} is decoded otherwise than by the library")
+    """Compares all chunks' ids and decoded texts with the library's, in texts that chunks are put together to.
+
+    The library puts a blank before a text, so that of the first chunk is taken
+    off. Chunks without a blank follow a line feed each, as in the texts they are from.
+    """
+    feed = model.chunk("\n")
+    for blank in (True, False):
+        chunks = [c for c in made if (c[0] == " ") == blank]
+        while chunks:
+            size, n = 0, 0
+            while n < len(chunks) and (not n or size + len(chunks[n]) < CHECK_CHARS):
+                size, n = size + len(chunks[n]), n + 1
+            now, chunks = chunks[:n], chunks[n:]
+            rows = [made[c] for c in now] if blank else [x for c in now for x in (feed, made[c])]
+            text = "".join(now)[1:] if blank else "\n" + "\n".join(now)
+            data = b"".join([r[0] for r in rows])
+            mine, theirs = list(struct.unpack(f"<{len(data) // 4}I", data)), model.library.encode(text)
+            head = [] if blank else model.library.encode("\n")[:-1]
+            if text and (head + mine != theirs or b"".join([r[1] for r in rows])[int(blank):] != model.library.decode(theirs).encode()):
+                wrong = next((c for c in now if alone(model, c) != made[c]), now[0])
+                raise ValueError(f"chunk {wrong[:80]!r} is encoded or decoded otherwise than by the library")
+
+
+def alone(model: Model, chunk: str) -> tuple[bytes, bytes]:
+    """What the library makes of one chunk."""
+    head = [] if chunk[0] == " " else model.library.encode("\n")
+    ids = model.library.encode(chunk[1:] if chunk[0] == " " else "\n" + chunk)
+    text = model.library.decode(ids).encode()
+    return struct.pack(f"<{len(ids) - len(head)}I", *ids[len(head) :]), b" " + text if chunk[0] == " " else text[1:]
 
 
 def encoder(proto: bytes, check: bool, with_ids: bool):
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_model(proto)
         for part, texts in common.text_chunks(batches):
@@ -266,6 +316,7 @@ def token_rows(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of each document, for use rather than for comparison."""
     proto = read_model(model_file)
 
+    @common.kernel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_model(proto)
         for part, texts in common.text_chunks(batches):
