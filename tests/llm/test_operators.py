@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veritext.llm import common, decontamination, exact_dedup, exchange, jaccard_join, lm_scoring, pii, quality_classifier, secret_scan, sentencepiece_bpe, substring_dedup, trees, warc_bundles
+from veritext.llm import common, decontamination, exact_dedup, exchange, jaccard_join, lm_scoring, pii, quality_classifier, secret_scan, sentencepiece_bpe, spans, substring_dedup, trees, warc_bundles
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, fragment int, score double, target int"
@@ -417,18 +417,53 @@ def test_pii_added_spans(spark, pii_model):
     assert {r.doc_id: r.text for r in pii.redact(found).collect()}[1] == "mail me [EMAIL] now"
 
 
-def test_secret_scan(spark):
-    words_ = ["this", "that", "with", "from", "there", "other"]
-    made = secret_scan.made_findings(words_, 3000)
+@pytest.fixture(scope="module")
+def language(spark):
+    return secret_scan.language(spark.createDataFrame([(i, "this that with from there other password settle version build") for i in range(3)] + [(9, None)], "doc_id bigint, text string"))
+
+
+def test_secret_scan(spark, language):
+    made = secret_scan.made_findings(language.words, 2400)
     rows = spark.createDataFrame(made, secret_scan.FINDINGS)
-    forest = secret_scan.fit(rows.where("crc32(cast(match as binary)) % 4 <> 0"), words_)
+    forest = secret_scan.fit(rows.where("crc32(cast(match as binary)) % 4 <> 0"), language)
     held = [m for m in made if zlib.crc32(m[1].encode()) % 4 == 0]
     docs = spark.createDataFrame([(i, m[0] + m[1] + m[2], m[3]) for i, m in enumerate(held)] + [(-1, None, None), (-2, "", "")], "doc_id bigint, text string, source string")
-    got = {r.doc_id: r for r in secret_scan.report(secret_scan.scan(docs, forest, words_)).collect()}
+    got = {r.doc_id: r for r in secret_scan.report(secret_scan.scan(docs, forest, language)).collect()}
     right = sum((got[i].n_secrets > 0) == bool(m[4]) for i, m in enumerate(held))
     assert right / len(held) > 0.93 and got[-1].n_candidates == got[-2].n_candidates == 0
 
 
+def test_secret_candidates(spark, language):
+    """Names aren't part of values; values of other signs and key blocks are found; every span is what it says it is."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nabc/+\n-----END RSA PRIVATE KEY-----"
+    texts = {1: "export API_TOKEN=ghp_" + "a1B2" * 9, 2: "password: s3cr!t?x, y", 3: f"x {key} y", 4: "MY_VERY_LONG_SECRET_NAME=" + "Zx9" * 8 + "== z", 5: "nothing here", 6: "token = \"ab\""}
+    want = {1: ["ghp_" + "a1B2" * 9], 2: ["s3cr!t?x"], 3: [key], 4: ["MY_VERY_LONG_SECRET_NAME", "Zx9" * 8 + "=="], 5: [], 6: []}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("path", F.lit(""))
+    for r in rows.withColumn("c", secret_scan.candidates(F.col("text"))).collect():
+        assert [texts[r.doc_id][c.start : c.end] for c in r.c] == [c.m for c in r.c] == want[r.doc_id]
+    coverage = {r.doc_id: r.described[0].f[secret_scan.FEATURES.index("coverage")] for r in secret_scan.described(spark.createDataFrame([(1, "thisthatotherfrom"), (2, "qzqzqzqzqzqzqzqz"), (3, "xthisxxxxxxxxxxx")], "doc_id bigint, text string").withColumn("path", F.lit("")), language).collect()}
+    assert coverage == {1: 1.0, 2: 0.0, 3: 0.25}
+
+
+def test_pii_many_matches(spark, pii_model):
+    """A text of very many matches: spans and counts hold, in time that its length explains."""
+    n = 20_000
+    r = pii.report(pii.detect(spark.createDataFrame([(1, "a@b.co x " * n)], "doc_id bigint, text string"), *pii_model)).collect()[0]
+    assert r.n_email == n and r.base_sha256 == sha(",".join(f"email:{9 * i}:{9 * i + 6}" for i in range(n)))
+
+
+def test_blocks_of_spans(spark):
+    rng = random.Random(6)
+    for size in (0, 1, 127, 128, 129, 400):
+        text = "".join(rng.choice(["ab", "c", "\u00e9\U0001f600"]) for _ in range(size))
+        row = spark.createDataFrame([(text,)], "t string").select(spans.find(F.col("t"), "k", "ab|\U0001f600").alias("s")).collect()[0]
+        assert [(s.start, s.end) for s in row.s] == [m.span() for m in re.finditer("ab|\U0001f600", text)]
+    some = [(a := rng.randrange(3000), a + rng.randrange(1, 6)) for _ in range(300)]
+    row = spark.createDataFrame([([{"start": a, "end": b} for a, b in some],)], "x array<struct<start:int,end:int>>")
+    got = row.select(spans.let(spans.bounded(F.col("x")), lambda taken: F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda i: spans.overlapping(taken, F.struct(i.alias("start"), (i + 2).alias("end"))))).alias("o")).collect()[0].o
+    assert got == [any(a < i + 2 and i < b for a, b in some) for i in range(3001)]
+
+
 def test_tree_sql_equals_python(spark):
     rng = np.random.default_rng(2)
     x = rng.random((300, 4))
@@ -440,7 +475,7 @@ def test_tree_sql_equals_python(spark):
 
 
 def test_dictionary(spark):
-    rows = spark.createDataFrame([(1, "Word word other OTHER zebra tiny abc"), (2, None)], "doc_id bigint, text string")
+    rows = spark.createDataFrame([("word", 2), ("zebra", 1), ("other", 2), ("abc", 9)], "word string, n bigint")
     assert [r.word for r in secret_scan.dictionary(rows, 2).collect()] == ["other", "word"]
 
 
@@ -486,10 +521,11 @@ def test_empty_tables(spark, docs, bench, pii_model):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
-    forest = secret_scan.fit(spark.createDataFrame(secret_scan.made_findings([], 200), secret_scan.FINDINGS), ["this"])
+    known = secret_scan.language(none)
+    forest = secret_scan.fit(spark.createDataFrame(secret_scan.made_findings([], 200), secret_scan.FINDINGS), known)
     for out in (
         exact_dedup.dedup(none, none), exact_dedup.keep_one(none), sentencepiece_bpe.encode(none), jaccard_join.join(none), decontamination.find(none, bench), substring_dedup.remove_repeats(none), quality_classifier.classify(none, labels),
-        lm_scoring.cross_entropy_difference(none, labels), quality_classifier.keep_good(none, labels), jaccard_join.keep_one(none, 5, 80, 100), pii.detect(none, *pii_model), secret_scan.scan(none, forest, ["this"]), warc_bundles.read_bundles(warc_bundles.write_bundles(warc_bundles.plan_records(pages))),
+        lm_scoring.cross_entropy_difference(none, labels), quality_classifier.keep_good(none, labels), jaccard_join.keep_one(none, 5, 80, 100), pii.detect(none, *pii_model), secret_scan.scan(none, forest, known), warc_bundles.read_bundles(warc_bundles.write_bundles(warc_bundles.plan_records(pages))),
     ):
         assert out.count() == 0
     assert decontamination.find(docs, bench.limit(0)).where("size(items) > 0").count() == 0
