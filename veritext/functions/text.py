@@ -195,7 +195,13 @@ def clamp(c: Column, high: float = 100.0) -> Column:
 
 
 def rounded(c: Column, digits: int = DIGITS) -> Column:
-    return F.round(c, digits)
+    """A double at so many decimals, as the protocol rounds: by its exact binary value, ties to even. Spark's own round() goes by the shortest decimal form."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits)).cast("double")
+
+
+def labelled(rows: DataFrame, key: str, labels: DataFrame, default: str) -> DataFrame:
+    """rows with `label`, that of labels(key, label) for their key, or the default."""
+    return rows.join(labels.select(F.col("key").alias(key), "label"), key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
 
 def body_lines(normal: Column, repeated: Column | None = None) -> Column:

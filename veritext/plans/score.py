@@ -104,7 +104,7 @@ SCORES = ("final_score", "table_score", "title_layout_score", "text_score")
 
 def means(rows: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
     """Mean scores of a group, and its number of documents."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("document_count"), *[F.round(F.avg(c), digits).alias(c) for c in SCORES])
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("document_count"), *[text.rounded(F.avg(c), digits).alias(c) for c in SCORES])
 
 
 def leaderboard(rows: DataFrame, ordinal: str = "system_ordinal") -> DataFrame:
