@@ -85,7 +85,7 @@ def test_canonical(spark):
     assert "attributes" in got["2"].error and not got["3"].changed and "no rows" in got["4"].error
     again = canonical.canonicalize(spark.createDataFrame([("1", got["1"].text)], "doc_id string, text string"))
     assert not again.first().changed and canonical.check(rows.where("doc_id = '3'")).first().any_changed is False
-    assert canonical.scatter("| 編號 | 議題 |\n|---|---|\n| 1 | 甲 |") == "圖中議題：\n\n1. 甲"
+    assert canonical.topics("| 編號 | 議題 |\n|---|---|\n| 1 | 甲 |") == "圖中議題：\n\n1. 甲"
 
 
 def test_stream(spark, tmp_path):
