@@ -358,6 +358,29 @@ def test_quality_classifier(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_ridge_equals_a_direct_fit(spark):
+    """The partitions' summed normal equations give the weights of all rows at once."""
+    rng = random.Random(8)
+    texts = {i: " ".join("".join(rng.choice("abcdeXY1!") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 60))) for i in range(400)}
+    y = {i: rng.random() < 0.6 for i in texts}
+    labels = spark.createDataFrame([(i, int(v)) for i, v in y.items()], "doc_id bigint, quality int")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    model = quality_classifier.fit(quality_classifier.labelled(quality_classifier.document_statistics(docs), labels))
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in texts}
+    seen = [i for i in texts if fold[i]]
+    x = quality_classifier.statistics([texts[i].encode() for i in seen])
+    mean, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6))
+    rng2 = np.random.default_rng(quality_classifier.SEED)
+    frequency = rng2.normal(0, 1 / quality_classifier.WIDTH, (x.shape[1], quality_classifier.FEATURES))
+    phase = rng2.uniform(0, 2 * np.pi, quality_classifier.FEATURES)
+    z = np.hstack([np.sqrt(2 / quality_classifier.FEATURES) * np.cos(np.clip((x - mean) / scale, -6, 6) @ frequency + phase), np.ones((len(x), 1))])
+    learn = np.array([fold[i] > 1 for i in seen])
+    target = np.array([float(y[i]) for i in seen])
+    a = z[learn]
+    weights = np.linalg.solve(a.T @ a + quality_classifier.PENALTY * len(a) * np.eye(a.shape[1]), a.T @ target[learn])
+    assert np.allclose(model.mean, mean) and np.allclose(z @ model.weights, z @ weights, atol=1e-6)
+
+
 def test_isotonic():
     rng = np.random.default_rng(1)
     w, v = rng.random(60) + 0.1, rng.random(60)
@@ -407,7 +430,12 @@ def test_pii_base_spans(spark, pii_model):
         want = base_spans(texts[r.doc_id])
         assert r.base_sha256 == sha(",".join(want)), texts[r.doc_id][:200]
         assert Counter(x.split(":")[0] for x in want) == Counter({k: getattr(r, f"n_{k}") for k in PII if getattr(r, f"n_{k}")})
-        assert set(want) <= set(r.spans.split(",") if r.spans else [])
+        spans_ = r.spans.split(",") if r.spans else []
+        assert set(want) <= set(spans_) and len(spans_) == r.n_spans == len(want) + r.n_added
+        # What is added meets neither a base span nor another added one.
+        places = lambda some: [tuple(map(int, x.split(":")[1:])) for x in some]
+        added = places(set(spans_) - set(want)) if r.n_added else []
+        assert all(e <= a or b <= s for s, e in added for a, b in [*places(want), *added] if (a, b) != (s, e))
 
 
 def test_pii_added_spans(spark, pii_model):

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from veritext.llm import registry
 
 
@@ -44,6 +46,36 @@ def test_stages(spark, tmp_path):
     assert len(docs) == 364
 
 
+def test_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, whole rows that repeat, further columns: each decision is about its own row."""
+    tables(spark, str(tmp_path))
+    leak = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    base = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    fresh = lambda k: " ".join(f"{chr(97 + (k * 7 + i * i) % 26)}{chr(97 + (i * k) % 26)}{chr(97 + (i // 5 + k) % 26)}" for i in range(90))
+    odd = [(None, fresh(1)), (None, fresh(1)), (None, fresh(2)), (900, fresh(3)), (900, f"{fresh(4)} {leak}"), (900, fresh(3)), (None, None), (901, ""), (902, "long " + " ".join(fresh(k) for k in range(40, 400)))]
+    more = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in odd], base.schema)
+    docs = base.unionByName(more).withColumn("rep", F.lit("own")).withColumn("stays", F.col("doc_id"))
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/all")
+    at = spark.read.parquet(f"{tmp_path}/all")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+        at.write.parquet(f"{tmp_path}/odd-{name}")
+        at = spark.read.parquet(f"{tmp_path}/odd-{name}")
+    left = [(r.doc_id, r.text) for r in at.where("doc_id IS NULL OR doc_id >= 900").collect()]
+    assert sorted(left, key=str) == sorted([(None, fresh(1)), (None, fresh(2)), (900, fresh(3)), (901, ""), odd[8]], key=str)
+    assert all(r.rep == "own" and r.stays == r.doc_id for r in at.collect())
+
+
+def test_empty_documents(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none")
+    at = spark.read.parquet(f"{tmp_path}/none")
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        assert at.count() == 0
+
+
 def test_registry():
     names = registry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
