@@ -199,7 +199,7 @@ def rounded(c: Column, digits: int = DIGITS) -> Column:
     return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits)).cast("double")
 
 
-def labelled(rows: DataFrame, key: str, labels: DataFrame, default: str) -> DataFrame:
+def labelled(rows: DataFrame, key: str, labels: DataFrame, default: str | None) -> DataFrame:
     """rows with `label`, that of labels(key, label) for their key, or the default."""
     return rows.join(labels.select(F.col("key").alias(key), "label"), key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
