@@ -25,7 +25,7 @@ class Node:
         """The tree over an array expression of doubles."""
         if self.left is None:
             return f"{self.value:.12g}D"
-        return f"CASE WHEN {features}[{self.feature}] <= {self.cut:.12g}D THEN {self.left.sql(features)} ELSE {self.right.sql(features)} END"
+        return f"CASE WHEN {features}[{self.feature}] <= {self.cut!r}D THEN {self.left.sql(features)} ELSE {self.right.sql(features)} END"
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.left is None:
@@ -56,7 +56,9 @@ def grow(x: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int, leas
                 k = int(np.argmax(gain))
                 if gain[k] > best[0] + 1e-12:
                     lo, hi = v[order][at[k]], v[order][at[k] + 1]
-                    best = (float(gain[k]), f, float((lo + hi) / 2))
+                    # Of neighbouring floats the mean may be the upper one, which would leave nothing above the cut.
+                    cut = float((lo + hi) / 2)
+                    best = (float(gain[k]), f, cut if cut < hi else float(lo))
         if best[1] < 0:
             return node
         low = x[rows, best[1]] <= best[2]
