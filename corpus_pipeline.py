@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes
 as Parquet to the shared folder and reads again as the next stage's docs. All but
-the last return the columns of documents. A doc_id names a document: rows that
-share one stay or go together from the near-duplicate stage on. Null texts are
-empty; an empty table passes through every stage.
+the last return the columns of documents, and any further ones. A stage decides on
+rows by doc_id and whole text together, so rows that share a doc_id, or have none,
+stay or go by their own texts. Null texts are empty; an empty table passes through
+every stage.
 """
 
 from __future__ import annotations
@@ -58,7 +59,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs, f"pipeline-{name}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with common.scratch(spark) as keep:
+            before, docs = docs, common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
+        common.drop(before)
     return docs

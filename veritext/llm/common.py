@@ -6,8 +6,10 @@ the empty text and keeps one output row per input row unless it says otherwise.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,15 +46,49 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again, which cuts its lineage.
 
-    The files stay until drop() or until the cluster clears the shared folder.
+    The files stay until drop(), until the scratch() around ends, or until the cluster clears the shared folder.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if open_ := _open_scratches(df.sparkSession):
+        open_[-1].append(out)
     return out
 
 
+def _open_scratches(spark: SparkSession) -> list[list[DataFrame]]:
+    """What stored() wrote inside of each open scratch(); kept at the context, as the package's modules travel with its kernels."""
+    return spark.sparkContext.__dict__.setdefault("_veritext_scratches", [])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Drops, at its end, what stored() writes inside, but for the frames given to the function that it yields.
+
+    Nothing else that is still to be read may depend on what is dropped.
+    """
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+    open_ = _open_scratches(spark)
+    open_.append(made)
+    try:
+        yield lambda *frames: kept.update(f._stored_at for f in frames)
+    finally:
+        open_.pop()
+        drop(*[f for f in made if f._stored_at not in kept])
+        if open_:
+            open_[-1].extend(f for f in made if f._stored_at in kept)
+        made.clear()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of plans that nothing refers to, so that Spark's cleaner removes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete what stored() wrote."""
     for df in frames:
@@ -99,18 +135,22 @@ def text_digest(text: str = "text") -> Column:
 
 
 def settle(docs: DataFrame, acts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, with all their columns, that acts(id, sha, stays) leaves.
+    """The rows of docs, with all their columns, that acts(id, sha, stays), a stored table, leaves.
 
     acts has a row for each doc_id and text digest that it decides on: of the
     rows with both, none stays, or one does. All other rows stay. Null ids are
     compared as equal. docs may have columns of any names.
     """
+    key = lambda id_, sha: F.concat_ws(":", F.coalesce(id_.cast("bigint").cast("string"), F.lit("none")), sha)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("own"), text_digest().alias("digest"))
-    joined = packed.join(acts, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left")
-    alone = joined.where("stays IS NULL").select("row")
-    first = joined.where("stays").groupBy("own", "digest").agg(F.first("row").alias("row")).select("row")
-    return alone.unionByName(first).select("row.*")
+    packed = docs.select(row.alias("row"), key(F.col(id_col), text_digest()).alias("key"))
+    # The same join at any size: what would be broadcast grows with the input.
+    decided = acts.select(key(F.col("id"), F.col("sha")).alias("key"), "stays").hint("merge")
+    if not acts.where("stays").take(1):
+        return packed.join(decided, "key", "left_anti").select("row.*")
+    joined = packed.join(decided, "key", "left").where("stays IS NULL OR stays")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return joined.withColumn("nth", nth).where("stays IS NULL OR nth = 1").select("row.*")
 
 
 # --- connected components ----------------------------------------------------
@@ -118,23 +158,21 @@ def settle(docs: DataFrame, acts: DataFrame, id_col: str = "doc_id") -> DataFram
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has a link.
 
-    Rounds of minimum labels over neighbours with pointer jumping, each round cut
-    by checkpoint(). Every round reduces edges by key before it shuffles them.
+    Rounds of minimum labels over neighbours with pointer jumping, each round a
+    written table. Every round reduces edges by key before it shuffles them.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    links = links.union(links.select("v", "u")).distinct().checkpoint()
-    labels = links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")).checkpoint()
-    while True:
+    links = stored(links.union(links.select("v", "u")).distinct(), f"{name}-links")
+    labels = stored(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"), F.lit(True).alias("moved")), f"{name}-labels")
+    while labels.where("moved").take(1):
         seen = links.join(labels, links.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("low"))
         near = labels.join(seen, "node", "left").select("node", "component", F.least("component", "low").alias("low"))
         roots = labels.select(F.col("node").alias("low"), F.col("component").alias("root"))
-        jumped = near.join(roots, "low", "left").select("node", "component", F.least("low", "root").alias("next")).checkpoint()
-        moved = jumped.where("next < component").limit(1).count()
-        labels = jumped.select("node", F.col("next").alias("component"))
-        if not moved:
-            return labels
+        following = near.join(roots, "low", "left").select("node", F.least("low", "root").alias("next"), "component")
+        before, labels = labels, stored(following.select("node", F.col("next").alias("component"), (F.col("next") < F.col("component")).alias("moved")), f"{name}-labels")
+        drop(before)
+    drop(links)
+    return labels.drop("moved")
 
 
 # --- text kernels ------------------------------------------------------------

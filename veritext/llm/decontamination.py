@@ -253,23 +253,31 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None) -> DataFrame:
     """(doc_id, sha, n_words, spans, items, near) of every document: the words that lie in an occurrence of an item's window, the items that occur, and those with proximity matches within `span` words (none if it's null)."""
     spark = docs.sparkSession
-    index = build_index(docs)
-    hits = spark.createDataFrame([], HITS_SQL)
-    for items in blocks(benchmark):
-        asked = Windows(items, window)
-        asked.order(term_counts(index, asked.terms))
-        hits = hits.unionByName(search(index, asked, span))
+    with common.scratch(spark) as keep:
+        index = build_index(docs)
+        rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "shas", "n_words")).alias("slot", "d")).select("shard", "slot", F.col("d.doc_ids").alias("doc_id"), F.col("d.shas").alias("sha"), F.col("d.n_words").alias("n_words"))
+        rows = common.stored(rows, "positional-documents")
+        hits = spark.createDataFrame([], HITS_SQL)
+        for items in blocks(benchmark):
+            asked = Windows(items, window)
+            asked.order(term_counts(index, asked.terms))
+            found = search(index, asked, span)
+            keep(found)
+            hits = hits.unionByName(found)
+        keep(rows)
     together = hits.groupBy("shard", "slot").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
     together = together.withColumns({c: F.array_sort(F.array_distinct(c)) for c in ("items", "near")}).mapInArrow(_united, HITS_SQL)
-    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "shas", "n_words")).alias("slot", "d")).select("shard", "slot", F.col("d.doc_ids").alias("doc_id"), F.col("d.shas").alias("sha"), F.col("d.n_words").alias("n_words"))
     none = {"spans": "array<bigint>", "items": "array<string>", "near": "array<string>"}
     return rows.join(together, ["shard", "slot"], "left").select("doc_id", "sha", "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, without a hit word."""
-    hit = find(docs, benchmark, window).where(F.size("items") > 0)
-    return common.settle(docs, hit.select(F.col("doc_id").alias("id"), "sha", F.lit(False).alias("stays")).distinct())
+    with common.scratch(docs.sparkSession) as keep:
+        hit = find(docs, benchmark, window).where(F.size("items") > 0)
+        acts = common.stored(hit.select(F.col("doc_id").alias("id"), "sha", F.lit(False).alias("stays")).distinct(), "positional-acts")
+        keep(acts)
+    return common.settle(docs, acts)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritext.llm import common
@@ -153,19 +153,21 @@ def verdicts(rows: DataFrame, *further: str) -> DataFrame:
     The distinct digests of old rows are indexed; the others' are looked up.
     Members join the group of their slot, all others form groups of their own.
     """
-    rows = common.stored(rows, "dedup-digests")
-    groups = common.stored(rows.groupBy("old", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("winner")), "dedup-groups")
-    old, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
-    sizes = groups.agg(F.sum("n").alias("rows"), F.count_if("old").alias("keys")).first()
-    n_buckets = max(1, -(-(sizes["keys"] or 0) // BUCKET_KEYS))
-    index = common.stored(build_index(old, n_buckets), "dedup-index", compression="none")
-    found = lookup(new, index, n_buckets)
-    merged = new.join(found, "digest").select(
-        "digest", (F.col("n") + F.col("old_n")).alias("group_size"), F.greatest("winner", "old_winner").alias("keep_id"), (F.col("old_n") > 0).alias("member"))
-    # A group is the incoming one with what its slot held; of the history, what no member came for.
-    untouched = old.join(merged.where("member").select("digest"), "digest", "left_anti").select(
-        "digest", F.col("n").alias("group_size"), F.col("winner").alias("keep_id"), F.lit(False).alias("member"))
-    several = common.stored(merged.unionByName(untouched).where("group_size > 1").drop("member"), "dedup-verdicts")
+    with common.scratch(rows.sparkSession) as keep:
+        rows = common.stored(rows, "dedup-digests")
+        groups = common.stored(rows.groupBy("old", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("winner")), "dedup-groups")
+        old, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
+        sizes = groups.agg(F.sum("n").alias("rows"), F.count_if("old").alias("keys")).first()
+        n_buckets = max(1, -(-(sizes["keys"] or 0) // BUCKET_KEYS))
+        index = common.stored(build_index(old, n_buckets), "dedup-index", compression="none")
+        found = lookup(new, index, n_buckets)
+        merged = new.join(found, "digest").select(
+            "digest", (F.col("n") + F.col("old_n")).alias("group_size"), F.greatest("winner", "old_winner").alias("keep_id"), (F.col("old_n") > 0).alias("member"))
+        # A group is the incoming one with what its slot held; of the history, what no member came for.
+        untouched = old.join(merged.where("member").select("digest"), "digest", "left_anti").select(
+            "digest", F.col("n").alias("group_size"), F.col("winner").alias("keep_id"), F.lit(False).alias("member"))
+        several = common.stored(merged.unionByName(untouched).where("group_size > 1").drop("member"), "dedup-verdicts")
+        keep(rows, several)
     out = common.join_verdicts(rows.drop("old"), several, "digest", "group_size", sizes["rows"] or 0)
     single = F.col("group_size").isNull()
     return out.select(
@@ -185,12 +187,15 @@ def is_history():
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group of equal texts, also where rows repeat whole."""
     own = common.documents(docs).select("doc_id", F.unhex(F.sha2(common.lower_ascii(F.col("text")), 256)).alias("digest"), common.text_digest().alias("sha"), is_history().alias("old"))
-    found = common.stored(verdicts(own, "sha").where("group_size > 1"), "dedup-rows")
-    # Rows that share the largest doc_id and differ in case only: the first by digest stays.
-    best = found.where("kept").groupBy("text_sha256").agg(F.min("sha").alias("best"))
-    rows = found.groupBy("doc_id", "sha", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    stays = F.col("kept") & (F.col("sha") == F.col("best"))
-    acts = rows.join(best, "text_sha256").select(F.col("doc_id").alias("id"), "sha", stays.alias("stays"), "n").where("NOT stays OR n > 1").drop("n")
+    with common.scratch(docs.sparkSession) as keep:
+        found = common.stored(verdicts(own, "sha").where("group_size > 1"), "dedup-rows")
+        gone = found.where("NOT kept").select(F.col("doc_id").alias("id"), "sha", F.lit(False).alias("stays")).distinct()
+        # Rows that share the largest doc_id and differ in case only: the first by digest stays, once.
+        last = found.where("kept").groupBy("text_sha256", "doc_id", "sha").agg(F.count(F.lit(1)).alias("n"))
+        stays = F.col("sha") == F.min("sha").over(Window.partitionBy("text_sha256"))
+        more = last.withColumn("stays", stays).where("NOT stays OR n > 1").select(F.col("doc_id").alias("id"), "sha", "stays")
+        acts = common.stored(gone.unionByName(more), "dedup-acts")
+        keep(acts)
     return common.settle(docs, acts)
 
 

@@ -133,7 +133,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
             target[: len(found)] = found
         return pa.Table.from_batches([dealt(cut).rows(source, cut.weights(target))])
 
-    replies = common.stored(exchange.exchange(exchange.at_slices(slices, target_bits(slices, labels), send, exchange.SQL), deal, kind), "lm-counts", compression="none")
+    sent = exchange.at_slices(slices, target_bits(slices, labels), send, exchange.SQL)
+    replies = common.stored(exchange.exchange(sent, deal, kind), "lm-counts", compression="none")
+    del sent
+    common.release(docs.sparkSession)
     told = replies.where("source = -1").select("body").toArrow().column("body").to_pylist()
     n_words, n_tokens, n_target = (sum(x) for x in zip((0, 0, 0), *[struct.unpack("<qqq", b) for b in told], strict=True))
     size = n_target or n_tokens

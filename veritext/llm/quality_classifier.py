@@ -233,15 +233,17 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs. The texts are read once."""
-    stats = common.stored(document_statistics(docs), "quality-statistics")
-    return score(stats, fit(labelled(stats, labels)))
+    with common.scratch(docs.sparkSession) as keep:
+        stats = common.stored(document_statistics(docs), "quality-statistics")
+        model = fit(labelled(stats, labels))
+        keep(stats)
+    return score(stats, model)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
-    stats = common.stored(document_statistics(docs), "quality-statistics")
-    model = fit(labelled(stats, labels))
-    common.drop(stats)
+    with common.scratch(docs.sparkSession):
+        model = fit(labelled(common.stored(document_statistics(docs), "quality-statistics"), labels))
     at = docs.columns.index("text")
     # The text goes by the kernel's name, all other columns under names that can't clash with it.
     names = ["text" if i == at else f"c{i}" for i in range(len(docs.columns))]
