@@ -31,7 +31,7 @@ from veritext.llm import common, spans, trees
 
 THRESHOLD = 0.5
 CONTEXT = 40
-DICTIONARY = 10_000
+DICTIONARY = 2000
 #: Lengths of the words that the dictionary is asked for.
 SHORTEST, LONGEST = 4, 14
 
@@ -78,7 +78,7 @@ def features(kind: Column, m: Column, before: Column, after: Column, path: Colum
     """array<double> in the order of FEATURES."""
     n = F.greatest(F.length(m), F.lit(1))
     runs = F.regexp_extract_all(F.lower(m), F.lit("[a-z]{2,}"), F.lit(0))
-    words = known.words or [""]
+    by_length = {k: [w for w in known.words if len(w) == k] for k in range(LONGEST, SHORTEST - 1, -1)}
     costs = F.array(*[F.lit(x) for x in known.pairs])
 
     def covered(run: Column) -> Column:
@@ -86,7 +86,7 @@ def features(kind: Column, m: Column, before: Column, after: Column, path: Colum
         state = F.struct(F.lit(1).alias("free"), F.lit(0).alias("sum"))
 
         def step(acc: Column, i: Column) -> Column:
-            longest = F.coalesce(*[F.when((F.length(run) - i + 1 >= k) & F.substring(run, i, F.lit(k)).isin(words), F.lit(k)) for k in range(LONGEST, SHORTEST - 1, -1)], F.lit(0))
+            longest = F.coalesce(*[F.when((F.length(run) - i + 1 >= k) & F.substring(run, i, F.lit(k)).isin(words), F.lit(k)) for k, words in by_length.items() if words], F.lit(0))
             here = F.when(i >= acc["free"], longest).otherwise(0)
             return F.struct(F.greatest(acc["free"], i + here).alias("free"), (acc["sum"] + here).alias("sum"))
 
