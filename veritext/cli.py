@@ -112,6 +112,7 @@ def run_canonical(spark: SparkSession, a: argparse.Namespace) -> int:
         if a.in_place:
             for row in done.where("changed").select("path").collect():
                 sinks.write_text(done.where(F.col("path") == row["path"]), "text", row["path"])
+    done.unpersist()
     return int(bool(state["errors"]) or (a.check and state["changed"]))
 
 
