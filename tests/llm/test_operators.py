@@ -175,6 +175,34 @@ def test_jaccard_links_are_complete(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.connected(docs).collect()} == component
 
 
+def test_jaccard_query_counts_links(spark, tmp_path, monkeypatch):
+    """The query has every link of every row: within blocks, across them, between sets that other links connect already."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rng = random.Random(7)
+    body = [f"w{j}" for j in range(120)]
+    texts = {i: " ".join([*body[: (a := rng.randrange(118))], f"x{i % 9}", *body[a + 1 :]]) for i in range(40)}
+    texts |= {100 + i: " ".join([f"t{j}" for j in range(60 + i)]) for i in range(12)} | {200: texts[3], 201: "", 202: None, 203: "alone it is"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets, component = linked(texts, 3, 90, 100)
+    distinct = set(sets.values())
+    want = {i: (component[i], sum(s != t and bool(s and t) and 100 * len(s & t) >= 90 * len(s | t) for t in distinct)) for i, s in sets.items()}
+    assert len({n for _, n in want.values()}) > 5
+    assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.query(spark, str(tmp_path)).collect()} == want
+
+
+def test_tile_overlaps(monkeypatch):
+    """By products of matrices or by pairs, in chunks of any size."""
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        for name in ("COLUMNS", "DENSE", "PAIRS"):
+            monkeypatch.setattr(jaccard_join, name, int(rng.integers(1, 200)))
+        a, b = ([rng.permutation(60)[: rng.integers(0, 40)] for _ in range(rng.integers(1, 20))] for _ in range(2))
+        for right in (a, b):
+            want = np.array([[len(set(p) & set(q)) for q in right] for p in a])
+            got = jaccard_join.tile_overlaps(a, None if right is a else b)
+            assert (got == (np.triu(want, 1) if right is a else want)).all()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)]

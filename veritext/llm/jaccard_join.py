@@ -10,17 +10,15 @@ of it. Overlaps are counted inside each fragment and summed a pair. In this orde
    All others leave (with a class of their own). Equal sets become one class.
 3. The shingles of the classes left are ordered by the number of classes, and
    pivots cut the order into FRAGMENTS with about the same number of postings.
-4. Pairs are proposed inside the fragments, by the rarest shingles of each class
-   up to the prefix length, under the length and position filters; a frequent
-   shingle's pairs are made in cells of two blocks of classes. join() proposes all
-   of them. connected(), which needs components only, first has each prefix
-   shingle propose its classes to one hub, so a hot group costs as many pairs as
-   it has rows; then, in blocks, pairs that the links so far have not put in one
-   component: the classes outside of a shingle's largest component meet all others.
-5. In each fragment a proposed pair's segments give a partial overlap. A pair that
-   couldn't reach the threshold if all its shingles before and after the segments
-   were equal is left out there. Partial overlaps are summed a pair and held
-   against the threshold in integers.
+4. Classes with the same most frequent shingle form blocks, two blocks a tile. Into a
+   tile come the classes that share one of their rarest shingles, up to the prefix
+   length, with a class of fitting length in its other block. A pair that links is in
+   exactly one tile.
+5. In each fragment the segments of a tile's classes give partial overlaps of all its
+   pairs. A pair that couldn't reach the threshold if all its shingles before and
+   after the segments were equal is left out there. Partial overlaps are summed a
+   pair and held against the threshold in integers. A tile returns each class's
+   number of links and what they connect it to, not the pairs.
 
 Shingles are compared by 64-bit hashes, so results are exact but for collisions.
 
@@ -45,8 +43,12 @@ from veritext.llm import common, exchange
 
 #: Fragments that the order of the shingles is cut into, and the error of the pivots' places in it.
 FRAGMENTS, ACCURACY = 8, 1000
-#: Classes of one shingle in a block; a task pairs two blocks at once.
-BLOCK = 256
+#: Classes in a block, about.
+BLOCK = 1024
+#: About as many members of tiles are taken by one task.
+MEMBERS = 4096
+#: In a tile, columns of a product of matrices, share of its pairs (one in so many) from which on a shingle gets a column, and pairs made at once.
+COLUMNS, DENSE, PAIRS = 2048, 200, 1 << 20
 #: The rarest shingles of a list that candidates are compared by before they become pairs.
 HEAD = 64
 
@@ -143,17 +145,6 @@ def can_link(num: int, den: int):
     return lengths & (ahead * (den + num) >= both * num)
 
 
-def in_cells(prefix: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of classes that share a prefix shingle and pass the filters, made in cells of two blocks of a shingle's classes."""
-    blocks = prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    dealt = prefix.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    left = dealt.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).alias("l")
-    right = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "block"))).alias("r")
-    once = (F.col("l.block") < F.col("r.block")) | (F.col("l.rep") < F.col("r.rep"))
-    pairs = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.block") == F.col("r.other")) & (F.col("l.other") == F.col("r.block")) & once & can_link(num, den))
-    return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-
-
 def heads(lists: DataFrame) -> DataFrame:
     """(rep, n, head, tail): numbers of a list's HEAD rarest shingles, and how many more it has. Numbers of 32 bits will do: shingles of a list that coincide count as behind its head."""
     low = F.array_distinct(F.transform(F.slice("s", 1, HEAD), lambda x: F.hash(x["h"])))
@@ -196,14 +187,6 @@ def overlaps(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFram
     return common.stored(summed.where(F.col("o") * (den + num) >= F.col("both") * num).select("a", "b"), "jaccard-links")
 
 
-def all_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) between the classes (rep, n, shared): every link."""
-    lists = ordered_lists(classes, num, den)
-    parts = common.stored(segments(lists, pivots(lists)), "jaccard-segments")
-    links = overlaps(in_cells(prefixes(lists, num, den), num, den), parts, num, den)
-    return links, common.components(links)
-
-
 def connecting_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links, components) between the classes (rep, n, shared): links that connect all that the threshold connects."""
     lists = ordered_lists(classes, num, den)
@@ -218,21 +201,191 @@ def connecting_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame,
     named = common.stored(prefix.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "jaccard-named")
     rest = between_components(named, lists, num, den)
     links = links.unionByName(overlaps(rest, parts, num, den))
-    return links, common.components(links)
+    labels = common.components(links)
+    return labels.select("node", F.lit(1).alias("n_links")), labels
+
+
+# --- links by tiles ----------------------------------------------------------
+
+PARTIAL_SQL = "bucket bigint, members binary, sizes binary, counts binary, places binary, sums binary"
+PARTIAL = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("members", "sizes", "counts", "places", "sums")]])
+LINKS_SQL = "node bigint, root bigint, n bigint"
+
+
+def placed_prefixes(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, n, block, h): each class's rarest shingles up to the prefix length, and its block (see blocks())."""
+    length = F.col("n") - least_overlap(F.col("n"), num, den) + 1 - F.col("lone")
+    short = lists.select("rep", "n", F.transform(F.slice("s", 1, length.cast("int")), lambda x: x["h"]).alias("s"))
+    return common.stored(short.join(blocks(lists), "rep").select("rep", "n", "block", F.explode("s").alias("h")), "jaccard-prefix")
+
+
+def blocks(lists: DataFrame) -> DataFrame:
+    """(rep, block): classes with the same most frequent shingle stand in a block, or in several of about BLOCK classes. Near copies mostly have that in common, so their pairs lie in few tiles."""
+    keyed = common.stored(lists.select("rep", F.element_at("s", -1)["h"].alias("key")), "jaccard-keys")
+    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    found = common.join_verdicts(keyed, keys, "key", "members", keyed.count())
+    return found.select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK))).alias("block"))
+
+
+def tiles(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, rep, first): the classes of each tile of two blocks x <= y, or of one with itself; first: rep is of x.
+
+    A class comes into the tile with a block that has a class of fitting size with
+    one of its prefix shingles. Both classes of a pair that links do, in the one tile
+    of their blocks.
+    """
+    in_block = prefix.groupBy("h", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"))
+    by_shingle = in_block.groupBy("h").agg(F.collect_list(F.struct("block", "lo", "hi", "c")).alias("all"), F.sum("c").alias("c")).where("c > 1").drop("c")
+    fits = lambda b: (b["hi"] * den >= F.col("n") * num) & (F.col("n") * den >= b["lo"] * num) & ((b["block"] != F.col("block")) | (b["c"] > 1))
+    met = prefix.join(by_shingle, "h").select("rep", "block", F.transform(F.filter("all", fits), lambda b: b["block"]).alias("met")).where(F.size("met") > 0)
+    other = met.groupBy("rep").agg(F.first("block").alias("block"), F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("rep", "block", F.explode("met").alias("other"))
+    return common.stored(other.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") <= F.col("other")).alias("first")), "jaccard-tiles")
+
+
+def tile_overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many values each array of a has in common with each of b; without b, with each one behind it in a. No array has a value twice."""
+    both = [*a, *(b or [])]
+    values, ids = np.unique(np.concatenate(both), return_inverse=True)
+    at = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    mine = at < len(a)
+    (i, ci), (j, cj) = (at[mine], ids[mine]), (at, ids) if b is None else (at[~mine] - len(a), ids[~mine])
+    left, right = np.bincount(ci, minlength=len(values)), np.bincount(cj, minlength=len(values))
+    shape = len(a), len(both) if b is None else len(b)
+    out = np.zeros(shape, np.float32)
+    pairs = left * right
+    dense = pairs * DENSE > out.size
+    # Values that many hold, by products of matrices.
+    columns = np.flatnonzero(dense)
+    for low in range(0, len(columns), COLUMNS):
+        place = np.full(len(values), -1)
+        place[columns[low : low + COLUMNS]] = np.arange(len(columns[low : low + COLUMNS]))
+        held = [np.zeros((rows, min(COLUMNS, len(columns) - low)), np.float32) for rows in shape]
+        for h, r, c in zip(held, (i, j), (ci, cj), strict=True):
+            h[r[place[c] >= 0], place[c][place[c] >= 0]] = 1
+        out += held[0] @ held[1].T
+    # All others by their pairs.
+    rare = ~dense & (pairs > 0)
+    i, ci = i[rare[ci]], ci[rare[ci]]
+    if len(i):
+        j = j[np.argsort(cj, kind="stable")]
+        begin, upto = (np.cumsum(right) - right)[ci], np.cumsum(right[ci])
+        for low in range(0, int(upto[-1]), PAIRS):
+            k = np.searchsorted(upto, np.arange(low, min(low + PAIRS, int(upto[-1]))), "right")
+            nth = np.arange(low, low + len(k)) - (upto - right[ci])[k]
+            out += np.bincount(i[k] * shape[1] + j[begin[k] + nth], minlength=out.size).reshape(shape)
+    return np.triu(out, 1) if b is None else out
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Small numbers in 16 bits each if all fit, else in 32."""
+    return values.astype(np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def widened(body: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(body, np.uint16 if len(body) == 2 * size else np.uint32).astype(np.int64)
+
+
+def partial_overlaps(num: int, den: int):
+    """Kernel over the rows of tiles in one fragment: its members in order, and the partial overlaps of the pairs in each tile, in rows by member (PARTIAL_SQL)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, rep, n, ahead, behind = (table.column(c).to_numpy() for c in ("x", "y", "rep", "n", "ahead", "behind"))
+        second = ~table.column("first").to_numpy()
+        order = np.lexsort((rep, second, y, x))
+        x, y, rep, n, ahead, behind, second = (c[order] for c in (x, y, rep, n, ahead, behind, second))
+        seg = pa.concat_arrays(table.column("seg").chunks)
+        flat, ends = seg.values.to_numpy(), seg.offsets.to_numpy()
+        segs = [flat[ends[k] : ends[k + 1]] for k in order.tolist()]
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1, [len(x)]])
+        counts = np.zeros(len(x), np.uint32)
+        places, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            alone = x[s] == y[s]
+            m = s if alone else s + int(np.count_nonzero(~second[s:e]))
+            a, b = slice(s, e if alone else m), slice(m, e)
+            o = tile_overlaps(segs[a], None if alone else segs[b])
+            rest = np.minimum.outer(ahead[a], ahead[b]) + np.minimum.outer(behind[a], behind[b])
+            # A pair that fails here fails in the sum too, which can only be smaller.
+            i, j = np.nonzero((o > 0) & ((o + rest) * (den + num) >= np.add.outer(n[a], n[b]) * num))
+            counts[a] = np.bincount(i, minlength=a.stop - s)
+            places.append(j + (m - s))
+            sums.append(o[i, j].astype(np.int64))
+        head, sizes = (np.stack([rep, n]).tobytes(), np.diff(edges).tobytes()) if table.column("f")[0].as_py() == 0 else (None, None)
+        row = {"bucket": table.column("bucket")[0].as_py(), "members": head, "sizes": sizes, "counts": counts.tobytes(), "places": narrow(np.concatenate(places)), "sums": narrow(np.concatenate(sums))}
+        common.tidy()
+        return pa.Table.from_pylist([row], PARTIAL)
+
+    return run
+
+
+def summed_overlaps(num: int, den: int):
+    """Kernel over the fragments of tiles: partial overlaps summed a pair and held against the threshold; per tile and class with links, their number and the smallest class that they lead to inside of the tile (LINKS_SQL)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        first = next(r for r in rows if r["members"] is not None)
+        rep, n = np.frombuffer(first["members"], np.int64).reshape(2, -1)
+        sizes = np.frombuffer(first["sizes"], np.int64)
+        begin, width = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+        counts = [np.frombuffer(r["counts"], np.uint32) for r in rows]
+        # Cells of each member with pairs, one for each member of its tile.
+        width = np.where(np.sum(counts, axis=0) > 0, width, 0)
+        row = np.cumsum(width) - width
+        total = np.zeros(int(width.sum()), np.uint32)
+        for r, c in zip(rows, counts, strict=True):
+            size = int(c.sum())
+            total[np.repeat(row, c) + widened(r["places"], size)] += widened(r["sums"], size).astype(np.uint32)
+        at = np.flatnonzero(total)
+        holders = np.flatnonzero(width)
+        i = holders[np.searchsorted(row[holders], at, "right") - 1]
+        j = begin[i] + at - row[i]
+        linked = total[at].astype(np.int64) * (den + num) >= (n[i] + n[j]) * num
+        i, j = i[linked], j[linked]
+        links = np.bincount(i, minlength=len(rep)) + np.bincount(j, minlength=len(rep))
+        # Members in the order of their classes, so that the smallest label is the smallest class.
+        order = np.argsort(rep, kind="stable")
+        label = np.empty(len(rep), np.int64)
+        label[order] = np.arange(len(rep))
+        while len(i):
+            low = label.copy()
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, label[i])
+            low = low[order[low]]
+            if (low == label).all():
+                break
+            label = low
+        has = links > 0
+        common.tidy()
+        return pa.table({"node": rep[has], "root": rep[order[label[has]]], "n": links[has]})
+
+    return run
+
+
+def all_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n_links) and (node, component) of the classes (rep, n, shared) that link: every link counts."""
+    lists = ordered_lists(classes, num, den)
+    parts = segments(lists, pivots(lists))
+    placed = tiles(placed_prefixes(lists, num, den), num, den)
+    buckets = max(1, placed.count() // MEMBERS)
+    rows = placed.withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(buckets))).join(parts, "rep")
+    partial = rows.groupBy("bucket", "f").applyInArrow(partial_overlaps(num, den), PARTIAL_SQL)
+    links = common.stored(partial.groupBy("bucket").applyInArrow(summed_overlaps(num, den), LINKS_SQL), "jaccard-links")
+    return links.groupBy("node").agg(F.sum("n").alias("n_links")), common.components(links, "node", "root")
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row: documents link when den * overlap >= num * union of their k-word shingle sets.
 
-    n_links counts the other sets that the row's set links with. A hot group of
-    near copies costs as many pairs as it has links.
+    n_links counts the other sets that the row's set links with. All pairs of a
+    tile are compared at once, so a hot group of near copies costs rows in proportion
+    to its classes and tiles, and arithmetic in proportion to its pairs.
     """
     return _joined(docs, k, num, den, all_links).drop("sha", "component")
 
 
 def connected(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """join() without n_links, by no more links than its components need."""
-    return _joined(docs, k, num, den, connecting_links).drop("n_links", "sha", "component")
+    """join() without n_links."""
+    return join(docs, k, num, den).drop("n_links")
 
 
 def _joined(docs: DataFrame, k: int, num: int, den: int, find) -> DataFrame:
@@ -253,8 +406,7 @@ def _verdicts(docs: DataFrame, k: int, num: int, den: int, find) -> tuple[DataFr
     first = F.row_number().over(Window.partitionBy("rep", F.when(F.col("rep").isNull(), F.col("digest"))).orderBy("digest")) == 1
     node = F.when(first & F.col("rep").isNotNull(), F.col("rep")).otherwise(-1 - F.abs(F.xxhash64("digest")))
     classes = common.stored(members.where("shared IS NOT NULL").withColumn("node", node), "jaccard-classes")
-    links, labels = find(classes.select(F.col("node").alias("rep"), "n", "shared"), num, den)
-    n_links = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    n_links, labels = find(classes.select(F.col("node").alias("rep"), "n", "shared"), num, den)
     linked = classes.select("digest", "rep", "node").join(labels, "node").join(n_links, "node", "left")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = linked.join(smallest, "component").select("digest", "component", "component_id", "n_links")
@@ -278,7 +430,7 @@ def keep_one(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected(common.table(spark, sf_dir, "documents"))
+    return join(common.table(spark, sf_dir, "documents"))
 
 
 def query_links(spark: SparkSession, sf_dir: str) -> DataFrame:
