@@ -190,6 +190,41 @@ def test_jaccard_query_counts_links(spark, tmp_path, monkeypatch):
     assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.query(spark, str(tmp_path)).collect()} == want
 
 
+def rows_of_joins(spark, after):
+    """The most rows that a join of an execution later than `after` made, and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done, most, last = store.executionsList(), 0, after
+    for k in range(done.size()):
+        at = done.apply(k).executionId()
+        last = max(last, at)
+        if at > after:
+            values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size()) if "Join" in node.name()):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most, last
+
+
+def test_keep_one_makes_no_rows_by_pairs(spark):
+    """Groups that share most shingles, rare ones too, but don't link: no join makes more rows than the sets have shingles."""
+    body = [f"w{j}" for j in range(152)]
+    texts = {}
+    for i in range(300):
+        own = list(body)
+        own[70 + 3 * (i % 13)] = own[111 + 3 * (i % 13)] = f"x{i % 13}"
+        texts[i] = " ".join([*own, f"y{i}"])
+        # Makes what the groups differ in more frequent than what they share.
+        texts[1000 + i] = " ".join([*body[66:], f"z{i}"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    sets, component = linked(texts, 5, 80, 100)
+    before = rows_of_joins(spark, -1)[1]
+    assert {r.doc_id for r in jaccard_join.keep_one(docs, 5, 80, 100).collect()} == set(component.values())
+    most, last = rows_of_joins(spark, before)
+    assert len(set(component.values())) == 14 and last > before
+    assert 0 < most <= sum(map(len, sets.values()))
+
+
 def test_tile_overlaps(monkeypatch):
     """By products of matrices or by pairs, in chunks of any size."""
     rng = np.random.default_rng(0)

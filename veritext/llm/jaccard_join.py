@@ -13,7 +13,8 @@ of it. Overlaps are counted inside each fragment and summed a pair. In this orde
 4. Classes with the same most frequent shingle form blocks, two blocks a tile. Into a
    tile come the classes that share one of their rarest shingles, up to the prefix
    length, with a class of fitting length in its other block. A pair that links is in
-   exactly one tile.
+   exactly one tile. Where components are enough (keep_one()), each prefix shingle
+   first proposes its classes to one hub, and tiles take what that leaves apart.
 5. In each fragment the segments of a tile's classes give partial overlaps of all its
    pairs. A pair that couldn't reach the threshold if all its shingles before and
    after the segments were equal is left out there. Partial overlaps are summed a
@@ -130,13 +131,6 @@ def segments(lists: DataFrame, cuts: list[float]) -> DataFrame:
     return rows.select("rep", "n", "f", F.slice("s", F.col("ahead") + 1, upto - F.col("ahead")).alias("seg"), "ahead", (F.size("s") - upto).alias("behind"))
 
 
-def prefixes(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """(rep, n, h, pos): each class's rarest shingles up to the prefix length, with their positions in its order."""
-    length = F.col("n") - least_overlap(F.col("n"), num, den) + 1 - F.col("lone")
-    prefix = lists.select("rep", "n", "lone", F.posexplode(F.slice("s", 1, length.cast("int"))).alias("i", "x"))
-    return common.stored(prefix.select("rep", "n", F.col("x.h").alias("h"), (F.col("lone") + F.col("i") + 1).alias("pos")), "jaccard-prefix")
-
-
 def can_link(num: int, den: int):
     """The length and position filters for a prefix shingle that l and r share."""
     both = F.col("l.n") + F.col("r.n")
@@ -156,26 +150,6 @@ def in_reach(num: int, den: int) -> Column:
     return (F.size(F.array_intersect("l.head", "r.head")) + F.greatest("l.tail", "r.tail")) * (den + num) >= (F.col("l.n") + F.col("r.n")) * num
 
 
-def between_components(named: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of classes in different components that share a prefix shingle and pass the filters.
-
-    Of a shingle's classes, those outside of its largest component meet all
-    others in blocks. They come with the heads of their lists: a pair is made only
-    if these leave the threshold in reach.
-    """
-    sizes = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.groupBy("h").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
-    dealt = named.join(top.select("h", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks")), "h")
-    dealt = dealt.join(heads(lists).drop("n"), "rep")
-    minor = dealt.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("l")
-    every = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("r")
-    once = (F.col("r.component") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep"))
-    apart = F.col("l.component") != F.col("r.component")
-    reach = in_reach(num, den)
-    pairs = minor.join(every, (F.col("l.h") == F.col("r.h")) & (F.col("l.block") == F.col("r.block")) & apart & once & can_link(num, den) & reach)
-    return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-
-
 def overlaps(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps inside each fragment, summed a pair."""
     side = lambda x: parts.select(F.col("rep").alias(x), "f", *[F.col(c).alias(f"{c}_{x}") for c in ("n", "seg", "ahead", "behind")])
@@ -187,24 +161,6 @@ def overlaps(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFram
     return common.stored(summed.where(F.col("o") * (den + num) >= F.col("both") * num).select("a", "b"), "jaccard-links")
 
 
-def connecting_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) between the classes (rep, n, shared): links that connect all that the threshold connects."""
-    lists = ordered_lists(classes, num, den)
-    parts = common.stored(segments(lists, pivots(lists)), "jaccard-segments")
-    prefix = prefixes(lists, num, den)
-    hub = prefix.groupBy("h").agg(F.min(F.struct("rep", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "hub.*")
-    first = prefix.alias("r").join(hub.alias("l"), F.col("l.h") == F.col("r.h")).where(F.col("l.rep") < F.col("r.rep")).where(can_link(num, den))
-    side = heads(lists)
-    first = first.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(side.alias("l"), F.col("a") == F.col("l.rep")).join(side.alias("r"), F.col("b") == F.col("r.rep"))
-    links = overlaps(first.where(in_reach(num, den)).select("a", "b"), parts, num, den)
-    labels = common.components(links)
-    named = common.stored(prefix.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "jaccard-named")
-    rest = between_components(named, lists, num, den)
-    links = links.unionByName(overlaps(rest, parts, num, den))
-    labels = common.components(links)
-    return labels.select("node", F.lit(1).alias("n_links")), labels
-
-
 # --- links by tiles ----------------------------------------------------------
 
 PARTIAL_SQL = "bucket bigint, members binary, sizes binary, counts binary, places binary, sums binary"
@@ -212,11 +168,12 @@ PARTIAL = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in ("membe
 LINKS_SQL = "node bigint, root bigint, n bigint"
 
 
-def placed_prefixes(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """(rep, n, block, h): each class's rarest shingles up to the prefix length, and its block (see blocks())."""
+def prefixes(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, n, block, h, pos): each class's block (see blocks()) and its rarest shingles up to the prefix length, with their positions in its order."""
     length = F.col("n") - least_overlap(F.col("n"), num, den) + 1 - F.col("lone")
-    short = lists.select("rep", "n", F.transform(F.slice("s", 1, length.cast("int")), lambda x: x["h"]).alias("s"))
-    return common.stored(short.join(blocks(lists), "rep").select("rep", "n", "block", F.explode("s").alias("h")), "jaccard-prefix")
+    short = lists.select("rep", "n", "lone", F.transform(F.slice("s", 1, length.cast("int")), lambda x: x["h"]).alias("s"))
+    prefix = short.join(blocks(lists), "rep").select("rep", "n", "block", "lone", F.posexplode("s").alias("i", "h"))
+    return common.stored(prefix.select("rep", "n", "block", "h", (F.col("lone") + F.col("i") + 1).alias("pos")), "jaccard-prefix")
 
 
 def blocks(lists: DataFrame) -> DataFrame:
@@ -227,19 +184,20 @@ def blocks(lists: DataFrame) -> DataFrame:
     return found.select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / BLOCK))).alias("block"))
 
 
-def tiles(prefix: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, rep, first): the classes of each tile of two blocks x <= y, or of one with itself; first: rep is of x.
+def tiles(named: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y, rep, first, component): the classes of each tile of two blocks x <= y, or of one with itself; first: rep is of x. named is prefixes() with components.
 
-    A class comes into the tile with a block that has a class of fitting size with
-    one of its prefix shingles. Both classes of a pair that links do, in the one tile
-    of their blocks.
+    A class comes into the tile with a block that has a class of fitting size and
+    another component with one of its prefix shingles. Both classes of a pair of two
+    components that links do, in the one tile of their blocks.
     """
-    in_block = prefix.groupBy("h", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"))
-    by_shingle = in_block.groupBy("h").agg(F.collect_list(F.struct("block", "lo", "hi", "c")).alias("all"), F.sum("c").alias("c")).where("c > 1").drop("c")
-    fits = lambda b: (b["hi"] * den >= F.col("n") * num) & (F.col("n") * den >= b["lo"] * num) & ((b["block"] != F.col("block")) | (b["c"] > 1))
-    met = prefix.join(by_shingle, "h").select("rep", "block", F.transform(F.filter("all", fits), lambda b: b["block"]).alias("met")).where(F.size("met") > 0)
-    other = met.groupBy("rep").agg(F.first("block").alias("block"), F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("rep", "block", F.explode("met").alias("other"))
-    return common.stored(other.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") <= F.col("other")).alias("first")), "jaccard-tiles")
+    in_block = named.groupBy("h", "block").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("n", "component") for f in (F.min, F.max)])
+    by_shingle = in_block.groupBy("h").agg(F.collect_list(F.struct("block", "min_n", "max_n", "min_component", "max_component")).alias("all"), F.min("min_component").alias("low"), F.max("max_component").alias("high"))
+    by_shingle = by_shingle.where("low < high").select("h", "all")
+    fits = lambda b: (b["max_n"] * den >= F.col("n") * num) & (F.col("n") * den >= b["min_n"] * num) & ((b["min_component"] != F.col("component")) | (b["max_component"] != F.col("component")))
+    met = named.join(by_shingle, "h").select("rep", "block", "component", F.transform(F.filter("all", fits), lambda b: b["block"]).alias("met")).where(F.size("met") > 0)
+    other = met.groupBy("rep").agg(F.first("block").alias("block"), F.first("component").alias("component"), F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("rep", "block", "component", F.explode("met").alias("other"))
+    return common.stored(other.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "rep", (F.col("block") <= F.col("other")).alias("first"), "component"), "jaccard-tiles")
 
 
 def tile_overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -286,13 +244,13 @@ def widened(body: bytes, size: int) -> np.ndarray:
 
 
 def partial_overlaps(num: int, den: int):
-    """Kernel over the rows of tiles in one fragment: its members in order, and the partial overlaps of the pairs in each tile, in rows by member (PARTIAL_SQL)."""
+    """Kernel over the rows of tiles in one fragment: its members in order, and the partial overlaps of the pairs of two components in each tile, in rows by member (PARTIAL_SQL)."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, rep, n, ahead, behind = (table.column(c).to_numpy() for c in ("x", "y", "rep", "n", "ahead", "behind"))
+        x, y, rep, component, n, ahead, behind = (table.column(c).to_numpy() for c in ("x", "y", "rep", "component", "n", "ahead", "behind"))
         second = ~table.column("first").to_numpy()
         order = np.lexsort((rep, second, y, x))
-        x, y, rep, n, ahead, behind, second = (c[order] for c in (x, y, rep, n, ahead, behind, second))
+        x, y, rep, component, n, ahead, behind, second = (c[order] for c in (x, y, rep, component, n, ahead, behind, second))
         seg = pa.concat_arrays(table.column("seg").chunks)
         flat, ends = seg.values.to_numpy(), seg.offsets.to_numpy()
         segs = [flat[ends[k] : ends[k + 1]] for k in order.tolist()]
@@ -306,7 +264,7 @@ def partial_overlaps(num: int, den: int):
             o = tile_overlaps(segs[a], None if alone else segs[b])
             rest = np.minimum.outer(ahead[a], ahead[b]) + np.minimum.outer(behind[a], behind[b])
             # A pair that fails here fails in the sum too, which can only be smaller.
-            i, j = np.nonzero((o > 0) & ((o + rest) * (den + num) >= np.add.outer(n[a], n[b]) * num))
+            i, j = np.nonzero((o > 0) & np.not_equal.outer(component[a], component[b]) & ((o + rest) * (den + num) >= np.add.outer(n[a], n[b]) * num))
             counts[a] = np.bincount(i, minlength=a.stop - s)
             places.append(j + (m - s))
             sums.append(o[i, j].astype(np.int64))
@@ -361,18 +319,39 @@ def summed_overlaps(num: int, den: int):
     return run
 
 
-def all_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n_links) and (node, component) of the classes (rep, n, shared) that link: every link counts."""
-    lists = ordered_lists(classes, num, den)
-    parts = segments(lists, pivots(lists))
-    placed = tiles(placed_prefixes(lists, num, den), num, den)
+def tile_links(placed: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root, n) for each class of a tile that links with one of another component: how many do, and the smallest class that they lead to inside of the tile."""
     buckets = max(1, placed.count() // MEMBERS)
     rows = placed.withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(buckets))).join(parts, "rep")
     partial = rows.groupBy("bucket", "f").applyInArrow(partial_overlaps(num, den), PARTIAL_SQL)
-    links = common.stored(partial.groupBy("bucket").applyInArrow(summed_overlaps(num, den), LINKS_SQL), "jaccard-links")
+    return common.stored(partial.groupBy("bucket").applyInArrow(summed_overlaps(num, den), LINKS_SQL), "jaccard-links")
+
+
+def all_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n_links) and (node, component) of the classes (rep, n, shared) that link: every link counts."""
+    lists = ordered_lists(classes, num, den)
+    placed = tiles(prefixes(lists, num, den).withColumn("component", F.col("rep")), num, den)
+    links = tile_links(placed, segments(lists, pivots(lists)), num, den)
     return links.groupBy("node").agg(F.sum("n").alias("n_links")), common.components(links, "node", "root")
 
 
+def connecting_links(classes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """all_links() where n_links doesn't matter. First each prefix shingle proposes its classes to one hub, as many pairs as they are; tiles compare only what that has not connected."""
+    lists = ordered_lists(classes, num, den)
+    parts = common.stored(segments(lists, pivots(lists)), "jaccard-segments")
+    prefix = prefixes(lists, num, den)
+    hub = prefix.groupBy("h").agg(F.min(F.struct("rep", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "hub.*")
+    first = prefix.alias("r").join(hub.alias("l"), F.col("l.h") == F.col("r.h")).where(F.col("l.rep") < F.col("r.rep")).where(can_link(num, den))
+    side = heads(lists)
+    first = first.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(side.alias("l"), F.col("a") == F.col("l.rep")).join(side.alias("r"), F.col("b") == F.col("r.rep"))
+    links = overlaps(first.where(in_reach(num, den)).select("a", "b"), parts, num, den)
+    labels = common.components(links)
+    named = common.stored(prefix.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "jaccard-named")
+    rest = tile_links(tiles(named, num, den), parts, num, den)
+    labels = common.components(links.unionByName(rest.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return labels.select("node", F.lit(1).alias("n_links")), labels
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row: documents link when den * overlap >= num * union of their k-word shingle sets.
 
