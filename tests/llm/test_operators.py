@@ -225,6 +225,25 @@ def test_keep_one_makes_no_rows_by_pairs(spark):
     assert 0 < most <= sum(map(len, sets.values()))
 
 
+def test_segments_are_cut_alike(spark):
+    """A shingle is in the same fragment of every list, whatever its place there."""
+    rng = random.Random(5)
+    order = sorted((rng.randrange(2, 60), rng.randrange(-(2**63), 2**63)) for _ in range(200))
+    lists = [(i, 90, 0, [order[j] for j in sorted(rng.sample(range(200), 90))]) for i in range(6)]
+    df = spark.createDataFrame(lists, "rep bigint, n bigint, lone bigint, s array<struct<c: bigint, h: bigint>>")
+    cuts = jaccard_join.pivots(df)
+    rows = jaccard_join.segments(df, cuts).collect()
+    fragment = {}
+    for r in rows:
+        for h in r.seg:
+            assert fragment.setdefault(h, r.f) == r.f
+    assert len(cuts) == 7 and set(fragment.values()) == set(range(8))
+    for i, _, _, s in lists:
+        mine = sorted((r for r in rows if r.rep == i), key=lambda r: r.f)
+        assert [h for r in mine for h in r.seg] == [h for _, h in s]
+        assert all(r.ahead + len(r.seg) + r.behind == 90 for r in mine)
+
+
 def test_tile_overlaps(monkeypatch):
     """By products of matrices or by pairs, in chunks of any size."""
     rng = np.random.default_rng(0)

@@ -125,10 +125,12 @@ def rank(x: Column) -> Column:
 
 def segments(lists: DataFrame, cuts: list[float]) -> DataFrame:
     """(rep, n, f, seg, ahead, behind): each class's segment of each fragment, and how many of its shared shingles stand before and after it."""
-    ends = F.array(F.lit(0), *[F.size(F.filter("s", lambda x, c=c: rank(x) <= c)) for c in cuts], F.size("s"))
+    # A second parameter of a lambda would be the place in the list.
+    upto = lambda cut: F.size(F.filter("s", lambda x: rank(x) <= cut))
+    ends = F.array(F.lit(0), *[upto(c) for c in cuts], F.size("s"))
     rows = lists.select("rep", "n", F.transform("s", lambda x: x["h"]).alias("s"), ends.alias("ends")).select("*", F.posexplode(F.slice("ends", 1, len(cuts) + 1)).alias("f", "ahead"))
-    upto = F.element_at("ends", F.col("f") + 2)
-    return rows.select("rep", "n", "f", F.slice("s", F.col("ahead") + 1, upto - F.col("ahead")).alias("seg"), "ahead", (F.size("s") - upto).alias("behind"))
+    end = F.element_at("ends", F.col("f") + 2)
+    return rows.select("rep", "n", "f", F.slice("s", F.col("ahead") + 1, end - F.col("ahead")).alias("seg"), "ahead", (F.size("s") - end).alias("behind"))
 
 
 def can_link(num: int, den: int):
