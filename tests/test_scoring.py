@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -176,3 +177,23 @@ def test_level_alignment_takes_all_rows(spark, tmp_path):
     cost, ops = headings.align(len(a), len(b), np.abs(a[:, None] - b[None, :]))
     got = catalogue.queries()["level_alignment"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(0, cost, len(ops))] and len(ops) >= 330
+
+
+def test_level_rows_align_as_the_matrix_does():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = ([int(x) for x in rng.integers(-3, 4, n)] for n in rng.integers(0, 13, 2))
+        want = headings.align(len(a), len(b), np.abs(np.array(a, float)[:, None] - np.array(b, float)[None, :]))
+        assert headings.level_cost(a, b) == want[0] and headings.align_levels(a, b) == want
+    assert headings.level_cost([1, None], [1, None]) == 2 == headings.align_levels([1, None], [1, None])[0]
+
+
+def test_level_alignment_memory_grows_with_one_list():
+    rng = np.random.default_rng(3)
+    a, b = ([int(x) for x in rng.integers(1, 7, 3000)] for _ in range(2))
+    tracemalloc.start()
+    cost, (total, ops) = headings.level_cost(a, b), headings.align_levels(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A matrix of 3,000 x 3,000 doubles takes 72 MB.
+    assert cost == total and len(ops) >= 3000 and most < 8_000_000
