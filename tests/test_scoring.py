@@ -232,3 +232,18 @@ def test_greedy_of_many_edges(spark):
     began = time.monotonic()
     kept = edges.select(tables.greedy(F.col("e")).alias("k")).first().k
     assert len(kept) == 20000 and [tuple(x) for x in kept[:2]] == [(0, 0), (1, 1)] and time.monotonic() - began < 60
+
+
+def test_plain_rows_of_cells_need_no_parser():
+    rng = random.Random(7)
+    plain = 0
+    for _ in range(2000):
+        cell = lambda: "<td" + rng.choice(["", " rowspan=2", ' colspan="3" rowspan=0', " rowspan=2 rowspan=3"]) + ">" + rng.choice(["a", "<b>x y</b> ", " ", "*b*", "[l](u)", "é  ", "\n", "&amp;"]) + rng.choice(["</td>", "</td>", "</td>", "</th>", ""])
+        raw = "<table>" + "".join("<tr>" + "".join(cell() for _ in range(rng.randint(0, 3))) + "</tr>" for _ in range(rng.randint(0, 3))) + "</table>"
+        parser = markup._Cells()
+        parser.feed(raw)
+        parser.close()
+        found = markup.simple_cells(raw)
+        plain += found is not None
+        assert found is None or found == parser.rows
+    assert plain > 500 and markup.simple_cells("<table><tr><td>open</tr></table>") is None
