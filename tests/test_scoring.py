@@ -247,3 +247,12 @@ def test_plain_rows_of_cells_need_no_parser():
         plain += found is not None
         assert found is None or found == parser.rows
     assert plain > 500 and markup.simple_cells("<table><tr><td>open</tr></table>") is None
+
+
+def test_relative_levels_of_a_long_list(spark):
+    levels = F.transform(F.sequence(F.lit(0), F.lit(59999)), lambda i: (i * 7 % 5).cast("int"))
+    began = time.monotonic()
+    got = spark.range(1).select(levels.alias("l")).select(extract.relative_levels(F.col("l")).alias("r")).first().r
+    # Listing the distinct levels once for each level takes minutes.
+    assert list(got) == [i * 7 % 5 + 1 for i in range(60000)] and time.monotonic() - began < 30
+    assert spark.sql("SELECT CAST(NULL AS array<int>) AS l").select(extract.relative_levels(F.col("l")).alias("r")).first().r is None
