@@ -256,3 +256,14 @@ def test_relative_levels_of_a_long_list(spark):
     # Listing the distinct levels once for each level takes minutes.
     assert list(got) == [i * 7 % 5 + 1 for i in range(60000)] and time.monotonic() - began < 30
     assert spark.sql("SELECT CAST(NULL AS array<int>) AS l").select(extract.relative_levels(F.col("l")).alias("r")).first().r is None
+
+
+def test_lines_of_a_long_document(spark):
+    text = "".join(f"line {i} of many" + ("\r\n" if i % 3 else "\n") for i in range(30000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "a\n\nb")], "doc_id int, text string")
+    began = time.monotonic()
+    found = extract.lines(docs, ["doc_id"])
+    size, end, n = found.where("doc_id = 1").agg(F.sum(F.length("text")), F.max("end"), F.count(F.lit(1))).first()
+    # With the whole text at each of its lines this takes minutes.
+    assert (n, end) == (30000, len(text)) and size == sum(map(len, text.split())) + 3 * 30000 and time.monotonic() - began < 40
+    assert [(r.line_no, r.start, r.end, r.text) for r in found.where("doc_id = 3").orderBy("line_no").collect()] == [(0, 0, 2, "a"), (1, 2, 3, ""), (2, 3, 4, "b")]
