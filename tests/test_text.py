@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veritext.config import ScoringConfig
 from veritext.functions import kernels, rules, text
+from veritext.operators import adapters
 
 CONFIG = ScoringConfig()
 
@@ -95,3 +96,12 @@ def test_config():
         ScoringConfig(normalize_zh="x")
     with pytest.raises(ValueError):
         ScoringConfig(table_structure_weight=0, table_content_weight=0)
+
+
+def test_page_noise_keeps_a_document_whole(spark):
+    docs = spark.createDataFrame([("a", "Annual Report\nx\n7\nAnnual Report\n<table>\nAnnual Report\n</table>\nAnnual Report"), (None, "y\nPage 1 of 2"), ("n", None)], "doc_id string, text string")
+    out = adapters.remove_page_noise(["doc_id"])(adapters.started(docs))
+    got = {r.doc_id: (r.text, {k: n for k, n in r.stats.items() if n}) for r in out.collect()}
+    # A document without an id was lost by the join with its lines, and rows were shuffled for it.
+    assert got == {"a": ("Annual Report\nx\n<table>\nAnnual Report\n</table>", {"standalone_page_numbers_removed": 1, "duplicate_running_headers_removed": 2}), None: ("y", {"standalone_page_numbers_removed": 1}), "n": ("", {})}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

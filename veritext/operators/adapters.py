@@ -11,11 +11,11 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritext.functions import kernels, rules, text
-from veritext.functions.arrow import arrow_udf
+from veritext.functions.arrow import arrow_udf, settled
 from veritext.functions.rules import Rule
 from veritext.operators import extract
 from veritext.sources import markdown
@@ -128,25 +128,40 @@ def remove_captions(docs: DataFrame) -> DataFrame:
     return counted(docs, generated_image_captions_removed=F.size("_l") - F.size("_k")).withColumn("text", F.array_join("_k", "\n")).drop("_l", "_k")
 
 
+def _noise(opened, table, number, key):
+    """Which lines go, and how many of them are page numbers and headers. key: a line's key if it reads as a running header."""
+    inside, seen, gone, again = 0, set(), [], 0
+    for more, begins, numbered, name in zip(opened, table, number, key):
+        repeats = False
+        if name is not None and not numbered and not begins and inside <= 0:
+            repeats = name in seen
+            seen.add(name)
+        again += repeats
+        gone.append(bool(numbered or repeats))
+        inside += more
+    return {"gone": gone, "numbers": sum(map(bool, number)), "headers": again}
+
+
+_noise_udf = arrow_udf(_noise, "struct<gone:array<boolean>,numbers:bigint,headers:bigint>", once=True)
+
+
 def remove_page_noise(keys: list[str]) -> Step:
-    """Page numbers go, and all but the first of a running header that repeats outside of tables: counts and order by windows over lines."""
+    """Page numbers go, and all but the first of a running header that repeats outside of tables: a document's lines are told by Spark, their order followed by a kernel, and its row stays whole."""
+
+    def opened(line: Column) -> Column:
+        low = F.lower(line)
+        return F.when(F.contains(low, F.lit("table")), F.regexp_count(low, F.lit(r"<table\b")) - F.regexp_count(low, F.lit(r"</table\s*>"))).otherwise(0)
 
     def step(docs: DataFrame) -> DataFrame:
-        lines = docs.select(*keys, F.posexplode_outer(text.lines(F.col("text"))).alias("n", "line"))
-        low = F.lower("line")
-        order = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-        opened = F.regexp_count(low, F.lit(r"<table\b")) - F.regexp_count(low, F.lit(r"</table\s*>"))
-        inside = (F.coalesce(F.sum(opened).over(order), F.lit(0)) > 0) | F.contains(low, F.lit("<table"))
-        lines = lines.withColumns({"key": text.line_key(F.col("line")), "number": F.coalesce(text.adapter_page_number(F.col("line")), F.lit(False)), "header": F.coalesce(~inside & text.running_header(F.col("line")), F.lit(False))})
-        same = Window.partitionBy(*keys, "header", "key")
+        docs = docs.withColumn("_l", settled(F.coalesce(text.lines(F.col("text")), F.array().cast("array<string>"))))
+        told = {
+            "_o": opened, "_t": lambda x: F.contains(F.lower(x), F.lit("<table")), "_n": lambda x: F.coalesce(text.adapter_page_number(x), F.lit(False)),
+            "_h": lambda x: F.when(text.running_header(x), text.line_key(x))}
+        docs = docs.withColumns({k: settled(F.transform("_l", f)) for k, f in told.items()})
         # A page number is never counted as a header's occurrence that goes: it goes before.
-        seen = F.sum((F.col("header") & ~F.col("number")).cast("int")).over(same.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        lines = lines.withColumns({"times": F.count(F.lit(1)).over(same), "seen": seen})
-        again = ~F.col("number") & F.col("header") & (F.col("times") >= 2) & (F.col("seen") > 1)
-        kept = F.when(F.col("n").isNotNull() & ~F.col("number") & ~again, F.struct("n", "line"))
-        one = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(kept)).alias("_k"), F.count_if("number").alias("_p"), F.count_if(again).alias("_h"))
-        docs = docs.drop("text").join(one, keys).withColumn("text", F.array_join(F.transform("_k", lambda x: x["line"]), "\n"))
-        return counted(docs, standalone_page_numbers_removed=F.col("_p"), duplicate_running_headers_removed=F.col("_h")).drop("_k", "_p", "_h")
+        docs = docs.withColumn("_u", _noise_udf(*told))
+        docs = docs.withColumn("text", F.array_join(F.filter("_l", lambda x, i: ~F.get(F.col("_u.gone"), i)), "\n"))
+        return counted(docs, standalone_page_numbers_removed=F.col("_u.numbers"), duplicate_running_headers_removed=F.col("_u.headers")).drop("_l", "_u", *told)
 
     return step
 
