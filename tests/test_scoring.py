@@ -267,3 +267,12 @@ def test_lines_of_a_long_document(spark):
     # With the whole text at each of its lines this takes minutes.
     assert (n, end) == (30000, len(text)) and size == sum(map(len, text.split())) + 3 * 30000 and time.monotonic() - began < 40
     assert [(r.line_no, r.start, r.end, r.text) for r in found.where("doc_id = 3").orderBy("line_no").collect()] == [(0, 0, 2, "a"), (1, 2, 3, ""), (2, 3, 4, "b")]
+
+
+def test_body_scores_take_few_python_workers(spark):
+    from veritext.operators import body
+
+    docs = spark.createDataFrame([("# A\nb\n\n3\nc", "# A\nb  d\nc")], "a string, b string")
+    plan = body.score(docs, "a", "b", ScoringConfig())._jdf.queryExecution().executedPlan().toString()
+    # Two for the normal forms and one for long texts' distances; before, each side had its own two.
+    assert plan.count("ArrowEvalPython") <= 3
